@@ -162,8 +162,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, idf.astype(np.float32), weights, temperature(scores, y[held]))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score added; the text alone decides.
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and its probability added under the given names; the text alone decides.
 
     Null texts and texts without a letter are `und` with score 0; so is everything if there was nothing to learn from.
     """
@@ -174,8 +174,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def told(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": str, "score": float})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, told(F.col(text).cast("string")).alias("__told")).select(*kept, "__told.lang_pred", "__told.score")
+    # of added columns with clashing names, ours replace the table's
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*kept, told(F.col(text).cast("string")).alias("__told")).select(*kept, F.col("__told.lang_pred").alias(names[0]), F.col("__told.score").alias(names[1]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

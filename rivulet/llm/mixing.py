@@ -91,16 +91,12 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, key: str = "doc_id") -> DataFrame:
-    """key, size, source_size, target, taken, source for each row of docs (key, text, source).
+def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """source_key, source_size, target, times, cut: one row for each source of rows (source, source_key, size, hash).
 
-    A row is taken floor(target / source_size) times, and once more if its hash is under its source's cut.
-    Null text has size 0, and so has an empty one; both are taken 0 words. A null source is a source of its own, the
-    last. Repeated rows have equal hashes and are taken alike. An empty table gives an empty result. One row a source
-    goes to the driver. Further columns of docs, whatever their names, take no part.
+    A row is taken times times, and once more if its hash is at most its source's cut. One row a source goes to the driver.
     """
-    spark = docs.sparkSession
-    rows = durable(docs.select(F.col(key).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col(key)).alias("hash")).withColumn("source_key", source_key(F.col("source"))), "sizes")
+    spark = rows.sparkSession
     totals = sorted(rows.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.n for r in totals]
     targets = allocate(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], share, cap) if sizes else []
@@ -110,9 +106,40 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         plan.append(("" if r.source is None else f"={r.source}", r.n, t, times, t - times * r.n))
     plan = spark.createDataFrame(plan, "source_key string, source_size long, target double, times long, budget double")
     cut = cutoffs(rows.select("source_key", "size", "hash"), plan.select("source_key", "budget"))
-    plan = durable(plan.join(cut.select("source_key", "cut"), "source_key", "left"), "plan")
-    once_more = (F.col("hash") <= F.coalesce(F.col("cut"), F.lit(-1))).cast("long")
-    return rows.join(F.broadcast(plan) if _small(plan) else plan, "source_key").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + once_more)).alias("taken"), "source")
+    return durable(plan.join(cut.select("source_key", "cut"), "source_key", "left").select("source_key", "source_size", "target", "times", F.coalesce("cut", F.lit(-1)).alias("cut")), "plan")
+
+
+def _measured(docs: DataFrame, key: str) -> DataFrame:
+    rows = docs.select(F.col(key).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col(key)).alias("hash"))
+    return durable(rows.withColumn("source_key", source_key(F.col("source"))), "sizes")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(plan) if _small(plan) else plan, "source_key")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, key: str = "doc_id") -> DataFrame:
+    """key, size, source_size, target, taken, source for each row of docs (key, text, source).
+
+    Null text has size 0, and so has an empty one; both are taken 0 words. A null source is a source of its own, the
+    last. Repeated rows have equal hashes and are taken alike. An empty table gives an empty result. Further columns of
+    docs, whatever their names, take no part.
+    """
+    rows = _measured(docs, key)
+    once_more = (F.col("hash") <= F.col("cut")).cast("long")
+    taken = (F.col("size") * (F.col("times") + once_more)).alias("taken")
+    return _with_plan(rows, plan_mix(rows, weights, share, cap)).select("doc_id", "size", "source_size", "target", taken, "source")
+
+
+def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, key: str = "doc_id") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their columns; no row is shuffled."""
+    plan = plan_mix(_measured(docs, key), weights, share, cap)
+    plan = plan.select("source_key", F.col("times").alias("__times"), F.col("cut").alias("__cut")).withColumnRenamed("source_key", "__source_key")
+    marked = docs.withColumn("__source_key", source_key(F.col("source").cast("string")))
+    joined = marked.join(F.broadcast(plan) if _small(plan) else plan, "__source_key")
+    times = (F.col("__times") + (row_hash(F.col(key)) <= F.col("__cut")).cast("long")).cast("int")
+    copies = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    return joined.withColumn("__copy", copies).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
+import corpus_pipeline
 from rivulet.llm import langid, licenses, mixing, packing, pii, quality, simhash, topk, transport, warc
 
 QUERIES = {
@@ -13,5 +14,6 @@ QUERIES = {
     "op8_transport": transport.op8_transport,
     "op9_packing": packing.op9_packing,
     "op10_licenses": licenses.op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op4_topk": topk.ORACLE, "op6_warc": warc.ORACLE}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import ascii_lower_py, bounded_batches, components, durable
@@ -46,6 +46,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle) for t in texts], dtype=np.int64)
+
+    return fp(text.cast("string"))
+
+
+def hexed(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """The covering masks as signed longs."""
     dims = radius + 1
@@ -128,12 +140,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     Only the two named columns are read, so clashing names don't matter.
     """
     bounded_batches(docs.sparkSession)
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype=np.int64)
-
-    rows = durable(docs.select(F.col(key).alias("doc_id"), fp(F.col(text).cast("string")).alias("fp")), "fingerprints")
+    rows = durable(docs.select(F.col(key).alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp")), "fingerprints")
     fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = components(link_fingerprints(fps.select("fp"), radius, block), "a", "b")
     joined = fps.select("fp", "least").join(labels.withColumnRenamed("node", "fp"), "fp")
@@ -143,7 +150,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     several = fps.where("n > 1").join(shared, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     names = durable(shared.unionByName(several).withColumn("known", F.lit(True)), "components")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(names, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    return rows.join(names, "fp", "left").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), component.alias("component_id"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
