@@ -80,7 +80,7 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = np.bitwise_count((left ^ x).view(np.uint64)) <= radius  # of a signed number it would count the absolute value's bits
             if near.any():
                 found = left[near]
                 left = left[~near]
