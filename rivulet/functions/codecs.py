@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructField, StructType, TimestampNTZType, TimestampType
@@ -29,6 +31,47 @@ def decode_number(c: Column, kind: str) -> Column:
     return F.when(F.octet_length(c) != width, F.raise_error(F.lit(f"not {width} bytes"))).otherwise(value)
 
 
+def encode_float(c: Column, kind: str = "double") -> Column:
+    """Big-endian IEEE 754 bytes of a float or double. No built-in function gives a number's bits, so batches go through Arrow."""
+    form, width = (">f4", 4) if kind == "float" else (">f8", 8)
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        raw = x.to_numpy(dtype=float).astype(form).tobytes()
+        return pd.Series([raw[i : i + width] for i in range(0, len(raw), width)])
+
+    return F.when(c.isNotNull(), run(F.coalesce(c.cast("double"), F.lit(0.0))))
+
+
+def decode_float(c: Column, kind: str = "double") -> Column:
+    """The number of big-endian bytes; another length is an error, null stays null."""
+    form, width = (">f4", 4) if kind == "float" else (">f8", 8)
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(np.frombuffer(b"".join(bytes(v) for v in x), form).astype(float))
+
+    right = F.when(F.octet_length(c) != width, F.raise_error(F.lit(f"not {width} bytes"))).otherwise(c)
+    return F.when(c.isNotNull(), run(F.coalesce(right, F.lit(bytes(width)))))
+
+
+def windowed_key(key: Column, start: Column) -> Column:
+    """A windowed key's bytes: the inner key and the window's start in eight bytes; the end follows from the window's size."""
+    return F.concat(key, encode_number(start, "long"))
+
+
+def windowed_key_parts(c: Column, size: int) -> Column:
+    """struct(key, window_start, window_end)."""
+    n = F.octet_length(c)
+    start = decode_number(F.substring(c, n - 7, F.lit(8)), "long")
+    return F.struct(F.substring(c, F.lit(1), n - 8).alias("key"), start.alias("window_start"), (start + size).alias("window_end"))
+
+
+def session_key(key: Column, start: Column, end: Column) -> Column:
+    """A session key's bytes: the inner key, the session's end and its start."""
+    return F.concat(key, encode_number(end, "long"), encode_number(start, "long"))
+
+
 def encode_boolean(c: Column) -> Column:
     return F.when(c, F.lit(b"\x01")).when(~c, F.lit(b"\x00"))
 

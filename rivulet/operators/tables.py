@@ -36,6 +36,11 @@ def map_values(table: DataFrame, value: Column) -> DataFrame:
     return table.withColumn("value", F.when(F.col("value").isNotNull(), value))
 
 
+def transform_values(table: DataFrame, value: Column) -> DataFrame:
+    """The value from key and value, null values included: the table must still have its tombstones."""
+    return table.withColumn("value", value)
+
+
 def regroup(table: DataFrame, key: Column, value: Column) -> DataFrame:
     """The table under another, possibly repeated key."""
     return table.withColumns({"__k": key, "__v": value}).drop("key", "value").withColumnsRenamed({"__k": "key", "__v": "value"})

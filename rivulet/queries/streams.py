@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rivulet.functions import errors, timestamps
+from rivulet.functions import codecs, errors, timestamps
 from rivulet.operators import aggregate, stateless, tables
+from rivulet.plans import topology
 from rivulet.plans.registry import query
 from rivulet.queries.inputs import FIRST, HOUR, ORDERS, customers, disordered, events, orders_log, records, with_nulls
 from rivulet.record import table
@@ -302,6 +303,31 @@ def retention(spark, d):
     return tables.retain(events(spark, d), 48 * HOUR).select("key", "value", "ts")
 
 
+@query(f"""WITH {ORDERS} SELECT key, key || ':' || coalesce(value, 'deleted') AS value FROM o QUALIFY row_number() OVER (PARTITION BY key ORDER BY "offset" DESC) = 1""")
+def table_transform_values(spark, d):
+    t = tables.latest(orders_log(spark, d), tombstones=True)
+    return tables.transform_values(t, F.concat_ws(":", "key", F.coalesce("value", F.lit("deleted")))).select("key", "value")
+
+
+@query("SELECT value AS key, count(*) AS count FROM e WHERE value <> 'error' GROUP BY value")
+def topology_counts(spark, d):
+    """The low-level graph API."""
+    t = topology.Topology().add_source("events", lambda: events(spark, d))
+    t.add_processor("re-key", lambda e, ignored: stateless.select_key(e, F.col("value")).join(F.broadcast(ignored), "key", "left_anti"), "events")
+    t.add_store("ignored", lambda: spark.createDataFrame([("error",)], "key string"), "re-key")
+    t.add_processor("count", aggregate.count, "re-key")
+    return t.frame("count")
+
+
+@query('SELECT "offset", key AS key, ts // 86400000 * 86400000 AS window_start, ts // 86400000 * 86400000 + 86400000 AS window_end, CAST(cents AS DOUBLE) / 4 AS number FROM e')
+def codec_windowed(spark, d):
+    e = events(spark, d)
+    start = (F.floor(F.col("ts") / 86_400_000) * 86_400_000).cast("long")
+    parts = codecs.windowed_key_parts(codecs.windowed_key(codecs.encode_number(F.col("key"), "long"), start), 86_400_000)
+    out = e.select("offset", parts.alias("w"), codecs.decode_float(codecs.encode_float(F.col("cents") / 4)).alias("number"))
+    return out.select("offset", codecs.decode_number(F.col("w.key"), "long").alias("key"), "w.window_start", "w.window_end", "number")
+
+
 # --- timestamps and errors
 
 

@@ -7,6 +7,9 @@ arithmetic exact and independent of the session's time zone.
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,14 @@ HEADERS = "array<struct<key: string, value: binary>>"
 STREAM_COLUMNS = ("key", "value", "ts", "offset")
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, if the path exists there; else it must be shipped with the job."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds since the epoch of a timestamp with or without time zone; microseconds are cut off."""
     return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts) / F.lit(1000)).cast("long")

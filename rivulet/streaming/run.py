@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from rivulet.operators.joins import JoinWindows
 from rivulet.operators.windows import SessionWindows, TimeWindows
+from rivulet.record import importable
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -23,6 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    importable(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -70,3 +74,15 @@ def collect(df: DataFrame, mode: str = "append", name: str | None = None) -> Dat
 def to_batches(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what is there into a foreachBatch sink; with an idempotent sink each record takes effect once."""
     df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def supervised(start: Callable[[], StreamingQuery], on_error: Callable[[Exception, int], str], most: int = 3) -> int:
+    """Runs a query to its end; on failure the handler says `restart` (from its checkpoint) or `stop`. Returns the restarts."""
+    for restarts in range(most + 1):
+        try:
+            start().awaitTermination()
+            return restarts
+        except Exception as e:
+            if restarts == most or on_error(e, restarts) != "restart":
+                raise
+    return most
