@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.record import importable
+
 #: Words: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +56,8 @@ def _remove_written() -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch, so that very long texts don't add up in a worker."""
+    """Bounds the bytes of an Arrow batch, so that very long texts don't add up in a worker; workers find this package."""
+    importable(spark)
     now = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)).rstrip("bB"))
     if now > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import durable
+from rivulet.record import importable
 
 K, SCALE, EVERY = 5, 256, 50
 BINS = 256
@@ -115,6 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     Queries go to the tasks in blocks of at most BLOCK_QUERIES rows and about BLOCK_BYTES bytes.
     """
     spark = vectors.sparkSession
+    importable(spark)
     rows, asked = _valid(vectors, key, vector), _valid(queries, key, vector).where("vec_id is not null").distinct()
     asked = durable(asked, "queries")
     size = asked.agg(F.count(F.lit(1)), F.sum(8 * F.size("x"))).first()
