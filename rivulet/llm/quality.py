@@ -18,7 +18,9 @@ from rivulet.llm.sampling import bounded_sample, held_out, learnable
 HALF, STRIDE, WIDTH = 256, 4, 12
 EMBEDDING, FILTERS = 8, 32
 #: Labelled rows learned from at most, their longest text in characters (documented bounds of the sample), passes, rows a step, learning rate.
-SAMPLE, LONGEST, EPOCHS, BATCH, RATE = 1200, 20_000, 8, 16, 0.01
+SAMPLE, LONGEST, EPOCHS, BATCH, RATE = 1200, 20_000, 10, 16, 0.01
+#: Lengths in bytes at which a text's shortness is felt: short texts can't excite many filters.
+SHORT = (16.0, 64.0, 256.0)
 #: Bytes that one step of scoring embeds.
 STEP = HALF * 256
 PAD = 256
@@ -31,10 +33,11 @@ class Network:
             "embed": r.normal(0, 0.5, (257, EMBEDDING)),
             "filters": r.normal(0, (WIDTH * EMBEDDING) ** -0.5, (WIDTH * EMBEDDING, FILTERS)),
             "bias": np.zeros(FILTERS),
-            "out": r.normal(0, 0.05, 3 * FILTERS),
+            "out": r.normal(0, 0.05, 3 * FILTERS + len(SHORT)),
             "end": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.prior = 0.0  # log odds of the labels over those of the sample
 
     def _halves(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(halves, filters): largest raw answer in each half chunk and the place it stands at."""
@@ -65,12 +68,12 @@ class Network:
         act = np.tanh(chunks + self.p["bias"])
         top, low = act.argmax(0), act.argmin(0)
         f = np.arange(FILTERS)
-        pooled = np.concatenate([act[top, f], act.mean(0), act[low, f]])
+        pooled = np.concatenate([act[top, f], act.mean(0), act[low, f], np.exp(-len(data) / np.array(SHORT))])
         logit = float(pooled @ self.p["out"] + self.p["end"][0])
         return logit, pooled, act, places, top, low
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.forward(_bytes(text))[0], -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.forward(_bytes(text))[0] + self.prior, -30, 30))))
 
     def gradient(self, data: np.ndarray, label: int, into: dict[str, np.ndarray]) -> float:
         logit, pooled, act, places, top, low = self.forward(data)
@@ -81,7 +84,7 @@ class Network:
         f = np.arange(FILTERS)
         g = np.repeat((d * self.p["out"][FILTERS : 2 * FILTERS] / len(act))[None, :], len(act), 0)
         g[top, f] += d * self.p["out"][:FILTERS]
-        g[low, f] += d * self.p["out"][2 * FILTERS :]
+        g[low, f] += d * self.p["out"][2 * FILTERS : 3 * FILTERS]
         g *= 1 - act * act
         into["bias"] += g.sum(0)
         padded = np.r_[data, np.full(WIDTH + STRIDE, PAD, np.int64)]
@@ -128,7 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     chosen = bounded_sample(rows, "quality", "doc_id", sample)  # at most `sample` rows: may be broadcast
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest).dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r.doc_id)
-    return learn([r.text for r in got], [r.quality for r in got])
+    net = learn([r.text for r in got], [r.quality for r in got])
+    # the sample holds both labels alike; all labelled rows say how frequent each is
+    n = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    seen = [sum(r.quality == q for r in got) for q in (0, 1)]
+    if min(*seen, *(n.get(q, 0) for q in (0, 1))) > 0:
+        net.prior = float(np.log(n[1] / n[0]) - np.log(seen[1] / seen[0]))
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
