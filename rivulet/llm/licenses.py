@@ -46,14 +46,19 @@ TEXTS = {
 }
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """template, exact, pairs (in the template), place, a, b, h: one row for each word pair; its size is fixed by the tables above."""
+def template_pairs() -> list[tuple[str, bool, int, int, str, str]]:
+    """template, exact, pairs (in the template), place, a, b: one for each word pair; their number is fixed by the tables above."""
     rows = []
     for kind, table in (("phrase", PHRASES), ("grant", GRANTS), ("text", TEXTS)):
         for label, text in table.items():
             words = text.split()
             rows += [(f"{kind}:{label}", kind != "text", len(words) - 1, i, a, b) for i, (a, b) in enumerate(zip(words[:-1], words[1:], strict=True))]
-    return spark.createDataFrame(rows, "template string, exact boolean, pairs int, place int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
+    return rows
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """The template pairs with their hashes, h."""
+    return spark.createDataFrame(template_pairs(), "template string, exact boolean, pairs int, place int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
 
 
 def words(text: Column) -> Column:
@@ -116,3 +121,19 @@ def base_py(text: str | None) -> tuple:
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = rf"""
+WITH t(template, exact, pairs, place, a, b) AS (VALUES {", ".join(f"('{t}', {str(e).lower()}, {n}, {i}, '{a}', '{b}')" for t, e, n, i, a, b in template_pairs())}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w) - 1)) AS i, w FROM w WHERE len(w) > 1),
+d AS (SELECT doc_id, template, exact, pairs, i - place AS diagonal, list(DISTINCT place) AS places FROM (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM p) JOIN t USING (a, b) GROUP BY ALL),
+r AS (SELECT *, CASE WHEN exact THEN diagonal ELSE sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) END AS run FROM
+  (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {NEIGHBOUR} THEN 1 ELSE 0 END AS gap FROM d)),
+s AS (SELECT doc_id, template, min(diagonal) AS diagonal, len(list_distinct(flatten(list(places)))) / pairs AS share FROM r GROUP BY doc_id, template, pairs, run),
+v AS (SELECT *, split_part(template, ':', 1) AS kind, split_part(template, ':', 2) AS label, CASE WHEN split_part(template, ':', 1) = 'text' THEN share >= {SIMILAR} ELSE share = 1 END AS verified FROM s),
+f AS (SELECT doc_id, count(*) FILTER (WHERE verified AND kind = 'phrase') AS n_base, min(diagonal) FILTER (WHERE verified AND kind = 'phrase') AS first_word, max(diagonal) FILTER (WHERE verified AND kind = 'phrase') AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE verified AND kind = 'phrase') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE verified) AS labels, max(share) AS score FROM v GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN f USING (doc_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op4_topk": topk.ORACLE, "op6_warc": warc.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op4_topk": topk.ORACLE, "op6_warc": warc.ORACLE, "op10_licenses": licenses.ORACLE}

@@ -1,6 +1,6 @@
 """License scans against brute force."""
 
-from conftest import DATA
+from conftest import DATA, rows_of
 
 from rivulet.llm import licenses
 
@@ -8,6 +8,10 @@ SCHEMA = "doc_id long, text string, labels string, template string"
 BASE = ("n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def test_documents_agree_with_sql(spark, oracle):
+    assert rows_of(licenses.op10_licenses(spark, f"{DATA}/sf0.01")) == oracle("sf0.01", licenses.ORACLE)
+
+
 def test_documents(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
     rows = licenses.op10_licenses(spark, f"{DATA}/sf0.01").collect()
