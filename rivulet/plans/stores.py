@@ -101,6 +101,9 @@ class Stores:
         df.createOrReplaceTempView(name)
         return df
 
+    def frame(self, name: str) -> DataFrame:
+        return self._frames[name][0]
+
     def entries(self, name: str) -> int:
         return self._frames[name][0].count()
 

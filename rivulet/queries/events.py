@@ -254,28 +254,35 @@ def _lines(spark, d):
 # --- interactive queries
 
 
-def _store(spark, d):
+def _store(spark, d, name):
+    make = {
+        "latest_orders": lambda: tables.latest(orders_log(spark, d)),
+        "order_versions": lambda: tables.versions(orders_log(spark, d)),
+        "daily_counts": lambda: windows.windowed(events(spark, d), windows.TimeWindows(DAY), {"value": F.count(F.lit(1))}),
+        "user_sessions": lambda: windows.windowed(events(spark, d), windows.SessionWindows(6 * HOUR), {"value": F.count(F.lit(1))}),
+    }
     s = stores.Stores()
-    s.add("latest_orders", tables.latest(orders_log(spark, d)))
-    s.add("order_versions", tables.versions(orders_log(spark, d)))
-    s.add("daily_counts", windows.windowed(events(spark, d), windows.TimeWindows(DAY), {"value": F.count(F.lit(1))}))
-    s.add("user_sessions", windows.windowed(events(spark, d), windows.SessionWindows(6 * HOUR), {"value": F.count(F.lit(1))}))
+    s.add(name, make[name]())
     return s
 
 
+def _asked(spark, d, name, q):
+    return _store(spark, d, name).run(stores.Request(name, q))
+
+
 @query(f"WITH {ORDERS} SELECT key, value, ts FROM latest WHERE key = 40")
 def iq_key(spark, d):
-    return _store(spark, d).run(stores.Request("latest_orders", stores.KeyQuery(40, with_timestamp=True)))
+    return _asked(spark, d, "latest_orders", stores.KeyQuery(40, with_timestamp=True))
 
 
 @query(f"WITH {ORDERS} SELECT key, value FROM latest WHERE key BETWEEN 100 AND 200")
 def iq_range_desc(spark, d):
-    return _store(spark, d).run(stores.Request("latest_orders", stores.RangeQuery(100, 200, descending=True)))
+    return _asked(spark, d, "latest_orders", stores.RangeQuery(100, 200, descending=True))
 
 
 @query(f"WITH {ORDERS} SELECT key, value FROM latest WHERE CAST(key AS VARCHAR) LIKE '12%'")
 def iq_prefix(spark, d):
-    return _store(spark, d).run(stores.Request("latest_orders", stores.PrefixQuery("12")))
+    return _asked(spark, d, "latest_orders", stores.PrefixQuery("12"))
 
 
 VERSIONS = ORDERS + """, v AS (SELECT * FROM (SELECT key, ts AS valid_from, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS valid_to, value, "offset" FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY "offset" DESC) = 1)) WHERE value IS NOT NULL)"""
@@ -289,27 +296,27 @@ def versioned_as_of(spark, d):
 
 @query(f"WITH {VERSIONS} SELECT key, valid_from, valid_to, value FROM v WHERE key = 41 AND valid_from <= {MID} AND (valid_to IS NULL OR valid_to > {MID})")
 def iq_asof(spark, d):
-    return _store(spark, d).run(stores.Request("order_versions", stores.VersionedKeyQuery(41, MID))).drop("offset")
+    return _asked(spark, d, "order_versions", stores.VersionedKeyQuery(41, MID)).drop("offset")
 
 
 @query(f"WITH {VERSIONS} SELECT key, valid_from, valid_to, value FROM v WHERE key = 41 AND valid_from <= {MID + 1000 * DAY} AND (valid_to IS NULL OR valid_to > {MID})")
 def iq_versions(spark, d):
-    return _store(spark, d).run(stores.Request("order_versions", stores.MultiVersionedKeyQuery(41, MID, MID + 1000 * DAY))).drop("offset")
+    return _asked(spark, d, "order_versions", stores.MultiVersionedKeyQuery(41, MID, MID + 1000 * DAY)).drop("offset")
 
 
 @query(f"SELECT key, ts // {DAY} * {DAY} AS window_start, ts // {DAY} * {DAY} + {DAY} AS window_end, count(*) AS value FROM e WHERE key = 8 AND ts // {DAY} * {DAY} BETWEEN {FIRST + 2 * DAY} AND {FIRST + 9 * DAY} GROUP BY ALL")
 def iq_window(spark, d):
-    return _store(spark, d).run(stores.Request("daily_counts", stores.WindowKeyQuery(8, FIRST + 2 * DAY, FIRST + 9 * DAY)))
+    return _asked(spark, d, "daily_counts", stores.WindowKeyQuery(8, FIRST + 2 * DAY, FIRST + 9 * DAY))
 
 
 @query(f"SELECT key, ts // {DAY} * {DAY} AS window_start, ts // {DAY} * {DAY} + {DAY} AS window_end, count(*) AS value FROM e WHERE ts // {DAY} * {DAY} BETWEEN {FIRST + 3 * DAY} AND {FIRST + 4 * DAY} GROUP BY ALL")
 def iq_window_range(spark, d):
-    return _store(spark, d).run(stores.Request("daily_counts", stores.WindowRangeQuery(FIRST + 3 * DAY, FIRST + 4 * DAY)))
+    return _asked(spark, d, "daily_counts", stores.WindowRangeQuery(FIRST + 3 * DAY, FIRST + 4 * DAY))
 
 
 @query("WITH " + SESSIONS.format(gap=6 * HOUR, source="e") + f", t AS (SELECT key, min(ts) AS window_start, max(ts) AS window_end, count(*) AS value FROM s GROUP BY key, sid) SELECT * FROM t WHERE key = 5 AND window_end >= {FIRST + 5 * DAY} AND window_start <= {FIRST + 8 * DAY}")
 def iq_sessions(spark, d):
-    return stores.sessions_of(_store(spark, d)._frames["user_sessions"][0], 5, FIRST + 5 * DAY, FIRST + 8 * DAY)
+    return stores.sessions_of(_store(spark, d, "user_sessions").frame("user_sessions"), 5, FIRST + 5 * DAY, FIRST + 8 * DAY)
 
 
 # --- record transforms
