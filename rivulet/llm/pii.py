@@ -18,14 +18,14 @@ KEY, ROUNDS = "rivulet-demo-key", 8
 #: What is looked for, in this order; the bounds on lengths keep matching linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])|\+1[ .-]?[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "iso_date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
     "us_date": r"(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[0-9a-f]{8,64}(?![A-Za-z0-9])|(?<== [\"'])[0-9a-f]{32,64}(?=[\"']))",
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?(?:[0-9a-f]{8,64}|[0-9A-F]{8,64})(?![A-Za-z0-9])|(?<== [\"'])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?=[\"']))",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A character or word without which none of the patterns can match; most texts are settled by it.
@@ -110,10 +110,13 @@ def _card(m: Column, key: str, back: bool) -> Column:
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    digits = F.substring(F.regexp_replace(m, "[^0-9]", ""), -10, 10)
-    new = permuted((digits.cast("long") / 10_000_000).cast("long") * 8_000_000 - 200 * 8_000_000 + digits.cast("long") % 10_000_000 - 2_000_000, 800, 8_000_000, "phone", key, back)
-    ten = _padded((F.floor(new / 8_000_000).cast("long") + 200) * 10_000_000 + new % 8_000_000 + 2_000_000, 10)
-    country = F.regexp_extract(m, r"^\+?1(?=[ .(-]?\(?[2-9])", 0)
+    """Ten digits; area codes from 200 on stay so, and those under it (which no one has, but texts do) stay under it."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    country = F.when(F.length(digits) == 11, F.regexp_extract(m, r"^\+?1", 0)).otherwise(F.lit(""))
+    area, rest = F.substring(F.right(digits, F.lit(10)), 1, 3).cast("long"), F.right(digits, F.lit(7)).cast("long") - 2_000_000
+    held = permuted((area - 200) * 8_000_000 + rest, 800, 8_000_000, "phone", key, back) + 200 * 8_000_000
+    new = F.when(area >= 200, held).otherwise(permuted(area * 8_000_000 + rest, 200, 8_000_000, "phone-0", key, back))
+    ten = _padded(F.floor(new / 8_000_000).cast("long") * 10_000_000 + new % 8_000_000 + 2_000_000, 10)
     return F.concat(country, _refilled(F.substring(m, F.length(country) + 1, F.length(m)), ten))
 
 
@@ -140,9 +143,9 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 
 
 def _secret(m: Column, key: str, back: bool) -> Column:
-    value = F.regexp_extract(m, "[0-9a-f]+$", 0)
-    value = F.when(F.length(m) == F.length(value), m).otherwise(F.regexp_extract(m, r"[=:] ?[\"']?([0-9a-f]+)$", 1))
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), permuted_hex(value, "secret", key, back))
+    value = F.regexp_extract(m, r"^(?:.*[=:] ?[\"']?)?([0-9A-Fa-f]+)$", 1)
+    new = permuted_hex(F.lower(value), "secret", key, back)
+    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(value == F.lower(value), new).otherwise(F.upper(new)))
 
 
 def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
@@ -151,7 +154,7 @@ def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
     return (
         F.when(at > 0, F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), "email", key, back), F.substring(m, at, F.length(m))))
         .when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), permuted_text(F.substring(m, 5, 16), "key", key, back)))
-        .when(m.rlike(r"[=:]|^[0-9a-f]{32,64}$"), _secret(m, key, back))
+        .when(m.rlike(r"[=:]|^[0-9A-Fa-f]{32,64}$"), _secret(m, key, back))
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key, back))
         .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(m, "yyyy-MM-dd", key, back))
         .when(m.rlike(r"^[0-9]{2}/"), _date(m, "MM/dd/yyyy", key, back))
