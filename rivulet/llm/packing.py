@@ -9,6 +9,8 @@ their length.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,33 +29,57 @@ SMALL, GROUPS, STEPS = 256, 96, 600
 #: Rows of one length that one task ranks.
 RANK_ROWS = 50_000
 #: Distinct word pieces whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 _tokenizers: dict[str, _Ids] = {}
 
 
+def _class(kind: str) -> str:
+    """The plain characters of a Unicode category as the inside of a character class."""
+    points = [c for c in _PLAIN if unicodedata.category(chr(c)).startswith(kind)]
+    runs = [[points[0], points[0]]]
+    for c in points[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in runs)
+
+
+#: Characters (white space, ASCII, Latin letters and signs) on which Python's and the tokenizer's patterns agree.
+_PLAIN = [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]
+#: Byte-level vocabularies show each byte as a printable character: itself, or the next from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+
+
 class _Ids(dict):
     """Pre-tokenised piece -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer splits a text by its pattern and encodes each part by itself, so parts can be remembered. The pattern
-    is applied here only to texts of characters on which the two regex libraries agree; others are encoded whole.
+    The tokenizer splits a text by its pattern and encodes each part by itself, so parts can be remembered. Texts of
+    plain characters are split here; others, and all texts if the vocabulary isn't a byte-level one, are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏͰ-ͳΑ-ΡΣ-ϿЀ-ҁҊ-ԯ‐-‧ぁ-ゖァ-ヺ一-龥]*").fullmatch
+        self.model = self.tokenizer.model
+        letter, number = _class("L"), _class("N")
+        space = r"\t\n\r "
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.plain = re.compile(f"[{''.join(re.escape(chr(c)) for c in _PLAIN)}]*").fullmatch if byte_level else lambda text: None
+        spare = iter(range(256, 512))
+        self.shown = {b: b if b in _PRINTABLE else next(spare) for b in range(256)}
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[part] = ids = self.whole(part)
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))
+        self[part] = ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
         return ids
 
     def whole(self, text: str) -> bytes:
