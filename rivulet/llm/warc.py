@@ -6,6 +6,8 @@ with the digest of its payload. Original records are rebuilt by joining the two.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,35 +82,54 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame
 
 
 def restore(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """page_id, record: the original WARC records, byte for byte, ended by two line ends."""
+    """page_id, sha256, record: the original WARC records, byte for byte, ended by two line ends; null without a payload."""
     body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
-    return headers.join(payloads, "sha256").select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    return headers.join(payloads, "sha256", "left").select("page_id", "sha256", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def _fields(head: bytes) -> tuple[str, dict[str, str]]:
+    lines = head.decode().split("\r\n")
+    return lines[0], dict(line.split(": ", 1) for line in lines[1:])
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         out = []
-        for page, sha256, header in zip(x["page_id"], x["sha256"], x["header"], strict=True):
-            lines = bytes(header).split(b"\r\n\r\n", 1)[0].decode().split("\r\n")
-            if lines[0] != "WARC/1.1":
+        for page, sha256, record in zip(x["page_id"], x["sha256"], x["record"], strict=True):
+            if record is None:
+                raise ValueError("a record has no stored payload")
+            head, _, rest = bytes(record).partition(b"\r\n\r\n")
+            version, fields = _fields(head)
+            if version != "WARC/1.1":
                 raise ValueError("not a WARC record")
-            fields = dict(line.split(": ", 1) for line in lines[1:])
+            block, end = rest[:-4], rest[-4:]
+            http, _, body = block.partition(b"\r\n\r\n")
+            n, digest, response = int(_fields(http)[1]["Content-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "response"
+            if response and (base64.b32encode(hashlib.sha1(body).digest()).decode() != digest or hashlib.sha256(body).hexdigest() != sha256):
+                raise ValueError("a stored payload has another digest than its record")
+            if len(block) != int(fields["Content-Length"]) or end != b"\r\n\r\n" or len(body) != (n if response else 0):
+                raise ValueError("a record has another Content-Length than its bytes")
             refers = fields.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">")
-            out.append((page, sha256, fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(refers) if refers else None))
-        got = pd.DataFrame(out, columns=["page_id", "sha256", "record_type", "payload_digest", "refers_to"])
-        yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+            out.append((page, sha256, n, digest, fields["WARC-Type"], int(refers) if refers else None))
+        got = pd.DataFrame(out, columns=["page_id", "sha256", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        yield got.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
 
 def read_back(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as the archive's bytes say.
 
-    Digests are computed anew from the stored bytes and must equal those in the headers; a mismatch is an error.
+    Every record is rebuilt and parsed. Digests are computed anew from the stored bytes and must equal those in the
+    headers, and so must lengths; a mismatch is an error. A revisit holds no payload: the one it stands for is compared.
     """
-    found = payloads.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("stored"), F.sha2("payload", 256).alias("again"))
-    read = headers.select("page_id", "sha256", "header").mapInPandas(_parsed, "page_id long, sha256 string, record_type string, payload_digest string, refers_to long")
+    schema = "page_id long, sha256 string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    responses = restore(headers.where("NOT revisit"), payloads).mapInPandas(_parsed, schema)
+    revisits = restore(headers.where("revisit"), payloads.where("false")).mapInPandas(_parsed, schema)
+    found = payloads.select("sha256", F.octet_length("payload").cast("long").alias("stored_bytes"), base32_of_hex(F.sha1("payload")).alias("stored"), F.sha2("payload", 256).alias("again"))
     right = (F.col("stored") == F.col("payload_digest")) & (F.col("again") == F.col("sha256"))
     digest = F.when(right, F.col("stored")).otherwise(F.raise_error(F.lit("a stored payload has another digest than its record")))
-    return read.join(found, "sha256", "left").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    size = F.when(F.col("stored_bytes") == F.col("payload_bytes"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record has another Content-Length than its bytes")))
+    revisits = revisits.join(found, "sha256", "left").select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    return responses.select(*revisits.columns).unionByName(revisits)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,17 @@ def test_empty_and_damaged(spark):
 
     with pytest.raises(Exception, match="another digest"):
         warc.read_back(headers, payloads.withColumn("payload", F.lit(b"changed"))).collect()
+
+
+def test_wrong_lengths(spark):
+    from pyspark.sql import functions as F
+
+    headers, payloads = warc.archive(spark.createDataFrame(ROWS[:6], SCHEMA))
+    for kind in ("NOT revisit", "revisit"):
+        for name in ("Content-Length: ", "charset=utf-8\\r\\nContent-Length: "):
+            longer = F.regexp_replace(F.col("header").cast("string"), f"({name})([0-9]+)", "$19$2").cast("binary")
+            damaged = headers.where(kind).withColumn("header", longer)
+            with pytest.raises(Exception, match="another Content-Length"):
+                warc.read_back(damaged, payloads).collect()
+    with pytest.raises(Exception, match="no stored payload|another digest"):
+        warc.read_back(headers, payloads.where("false")).collect()
