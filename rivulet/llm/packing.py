@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +28,10 @@ VOCABULARY = "byte_bpe_50k.json"
 SMALL, GROUPS, STEPS = 256, 96, 600
 #: Rows of one length that one task ranks.
 RANK_ROWS = 50_000
-#: Distinct word pieces whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Bytes, about, that a worker's remembered ids of word pieces may take; characters of the longest that it remembers.
+REMEMBERED_BYTES, REMEMBERED_CHARS = 96 << 20, 64
+#: Characters, about, of a text that are encoded at a time; characters of a window of an unbroken piece, and tokens that two windows share.
+PART_CHARS, WINDOW, SHARED = 1 << 16, 1 << 14, 128
 
 _tokenizers: dict[str, _Ids] = {}
 
@@ -55,8 +57,11 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 class _Ids(dict):
     """Pre-tokenised piece -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer splits a text by its pattern and encodes each part by itself, so parts can be remembered. Texts of
-    plain characters are split here; others, and all texts if the vocabulary isn't a byte-level one, are encoded whole.
+    The tokenizer splits a text by its pattern and encodes each piece by itself, so pieces can be remembered. Texts of
+    plain characters are split here; others, and all texts if the vocabulary isn't a byte-level one, by the tokenizer.
+    Of remembered pieces there are a younger and an older half; the older goes when the younger has its share of bytes.
+    Long texts are cut where no piece can span, and long pieces are encoded in windows, so memory doesn't follow the
+    length of a text.
     """
 
     def __init__(self, vocabulary: str):
@@ -69,24 +74,80 @@ class _Ids(dict):
         self.model = self.tokenizer.model
         letter, number = _class("L"), _class("N")
         space = r"\t\n\r "
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-        byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-        self.plain = re.compile(f"[{''.join(re.escape(chr(c)) for c in _PLAIN)}]*").fullmatch if byte_level else lambda text: None
+        self.split = re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.plain = re.compile(f"[{''.join(re.escape(chr(c)) for c in _PLAIN)}]*").fullmatch if self.byte_level else lambda text: None
         spare = iter(range(256, 512))
         self.shown = {b: b if b in _PRINTABLE else next(spare) for b in range(256)}
+        self.space = chr(self.shown[32])
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.older: dict[str, bytes] = {}
+        self.taken = 0
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))
-        self[part] = ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        ids = self.older.get(part)
+        if ids is None:
+            if part.isascii() and part.isprintable():
+                shown = part.replace(" ", self.space)
+            else:
+                shown = part.encode().decode("latin-1").translate(self.shown)
+            ids = self.piece(shown)
+        if len(part) <= REMEMBERED_CHARS:
+            self.taken += 170 + len(part) + len(ids)  # of both objects and the table's entry
+            if self.taken > REMEMBERED_BYTES // 2:
+                self.older, self.taken = dict(self), 0
+                self.clear()
+            self[part] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.taken = {}, 0
+
+    def piece(self, shown: str) -> bytes:
+        """The ids of one pre-tokenised piece.
+
+        Tokens that are valid side by side in pairs are the one encoding of their text, so the windows of a long piece
+        are joined at a token that both have at the same place. A window starts where the one before has a token.
+        """
+        if len(shown) <= WINDOW:
+            return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(shown)])
+        out, (ids, starts), end = [], self.window(shown, 0), WINDOW
+        while end < len(shown):
+            back = max(1, len(ids) - SHARED)
+            next_ids, next_starts = self.window(shown, starts[back])
+            places = {x: i for i, x in enumerate(zip(next_starts[:SHARED], next_ids[:SHARED], strict=True))}
+            joint = next((j for j in range(back, len(ids)) if (starts[j], ids[j]) in places), None)
+            if joint is None:
+                return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            out.append(np.array(ids[:joint], dtype="<u4").tobytes())
+            end, i = starts[back] + WINDOW, places[starts[joint], ids[joint]]
+            ids, starts = next_ids[i:], next_starts[i:]
+        return b"".join([*out, np.array(ids, dtype="<u4").tobytes()])
+
+    def window(self, shown: str, start: int) -> tuple[list[int], list[int]]:
+        tokens = self.model.tokenize(shown[start : start + WINDOW])
+        starts = start + np.cumsum([0, *(len(t.value) for t in tokens)])
+        return [t.id for t in tokens], starts[:-1].tolist()
+
+    def parts(self, text: str) -> Iterator[str]:
+        """text, cut before single spaces between letters."""
+        at = 0
+        while len(text) - at > PART_CHARS and self.byte_level and (cut := _CUT(text, at + PART_CHARS)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
     def whole(self, text: str) -> bytes:
+        if self.byte_level and len(text) > PART_CHARS:
+            return b"".join(self.piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text))) if self.plain(text) else self.whole(text)
+        return b"".join(b"".join(map(self.__getitem__, self.split(t))) if self.plain(t) else self.whole(t) for t in self.parts(text))
+
+
+_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])").search
 
 
 def token_bytes(text: str | None, vocabulary: str = VOCABULARY) -> bytes:
@@ -100,21 +161,27 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """doc_id, piece, start, length, ids_crc32: documents longer than capacity are cut so that only the first piece may be shorter."""
     bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-                ids = token_bytes(text, vocabulary) + end
-                n = len(ids) // 4
-                first = (n - 1) % capacity + 1
-                starts = [0, *range(first, n, capacity)]
-                out += [(doc_id, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from map(cut, batches)
+        finally:  # idle workers, of which an executor may keep several, hold no pieces
+            for t in _tokenizers.values():
+                t.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def cut(x: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc_id, text in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+            ids = token_bytes(text.as_py(), vocabulary) + end
+            n = len(ids) // 4
+            first = (n - 1) % capacity + 1
+            starts = [0, *range(first, n, capacity)]
+            out += [(doc_id, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
+        columns = zip(*out, strict=True) if out else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -231,25 +298,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     """
     rows = durable(pieces(docs, capacity, vocabulary, end_id), "pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-    keys, base, offset, at, sequence = [], [], [], Counter(), 0
+    runs: dict[int, list[tuple[int, int, int]]] = {length: [] for length in counts}  # of each length: first rank, sequence less rank, offset
+    at, sequence = Counter(), 0
     for times, held in plan(counts, capacity):
         place = 0
         for length in held:
-            keys.append((length << 40) + at[length])
-            base.append(sequence)
-            offset.append(place)
+            runs[length].append((at[length], sequence - at[length], place))
             at[length] += times
             place += length
         sequence += times
     assert at == Counter(counts), "the plan holds other lengths than the pieces have"
-    order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-    table = [np.array(x, dtype=np.int64)[order] for x in (keys, base, offset)]
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        key = (length.to_numpy(np.int64) << 40) + rank.to_numpy(np.int64)
-        i = np.searchsorted(table[0], key, side="right") - 1
-        return pd.DataFrame({"sequence_id": table[1][i] + key - table[0][i], "offset": table[2][i]})
+    # one row for each length, at most `capacity` of them
+    places = rows.sparkSession.createDataFrame([(length, x) for length, x in runs.items()], "length long, runs array<struct<first: long, sequence: long, offset: long>>")
 
     salts = max(16, -(-max(counts.values(), default=1) // RANK_ROWS))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
@@ -257,8 +317,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("rank", rank).join(before, ["length", "salt"])
-    at_ = placed(F.col("length"), F.col("before") + F.col("rank") - 1)
-    return ranked.withColumn("at", at_).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    placed = ranked.select("*", (F.col("before") + F.col("rank") - 1).alias("at")).join(F.broadcast(places), "length")
+    # a length's runs are in order of their first rank: halving finds the last that starts at or before the row
+    low = F.lit(0)
+    for step in (1 << i for i in reversed(range(max(map(len, runs.values()), default=1).bit_length()))):
+        low = F.when(F.get("runs", low + step)["first"] <= F.col("at"), low + step).otherwise(low)
+        placed = placed.withColumn("low", low)
+        low = F.col("low")
+    run = F.get("runs", low)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (run["sequence"] + F.col("at")).alias("sequence_id"), run["offset"].alias("offset"))
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,29 @@ def test_ids(tokenizer):
         assert np.frombuffer(packing.token_bytes(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_texts_are_encoded_in_parts(tokenizer, monkeypatch):
+    r = random.Random(5)
+    for window, part, shared in ((40, 64, 8), (64, 200, 16)):
+        monkeypatch.setattr(packing, "WINDOW", window)
+        monkeypatch.setattr(packing, "PART_CHARS", part)
+        monkeypatch.setattr(packing, "SHARED", shared)
+        for alphabet in ("ab", "a", "abcdefghijklmnopqrstuvwxyz", "etaoin ", "'s 12,.\n\t a", "漢字仮名 ", "éàßabc ", "=-_ ", "00001 ", "ab \u0085\u3000"):
+            for _ in range(60):
+                t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 600)))
+                assert np.frombuffer(packing.token_bytes(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_remembered_pieces_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20_000)
+    packing._tokenizers.clear()
+    texts = [" ".join(f"w{i * 37 % 5000} x{i}" for i in range(a, a + 200)) for a in range(0, 6000, 200)]
+    for t in [*texts, "y" * 1000, *texts]:
+        assert np.frombuffer(packing.token_bytes(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    ids = packing._tokenizers[packing.VOCABULARY]
+    assert len(ids) + len(ids.older) < 20_000 // 150 and "y" * 1000 not in ids
+    packing._tokenizers.clear()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_exactly_the_counts(seed):
     r = random.Random(seed)
