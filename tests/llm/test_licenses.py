@@ -1,5 +1,7 @@
 """License scans against brute force."""
 
+import random
+
 from conftest import DATA, rows_of
 
 from rivulet.llm import licenses
@@ -39,6 +41,45 @@ def test_labels_of_the_method(spark):
     assert r[5].labels == "" and r[5].n_base == 0
 
 
+def test_spans_are_verified_in_order_and_extent(spark):
+    mit, bsd = licenses.TEXTS["mit-text"].split(), licenses.TEXTS["bsd-text"].split()
+    pairs = [p for p in zip(mit[:-1], mit[1:], strict=True)]
+    r = random.Random(3)
+    mixed = r.sample(pairs, len(pairs))
+    filler = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(n))
+    texts = {
+        "scrambled": " ".join(f"{a} {b}" for a, b in mixed),
+        "reversed": " ".join(f"{a} {b}" for a, b in reversed(pairs)),
+        "stretched": " ".join(f"{a} {b} {filler(6)}" for a, b in pairs),
+        "with a footer": " ".join([*mit[:34], filler(25), *mit[34:]]),
+        "late and twice": " ".join([filler(5000), *bsd, filler(300), *mit, filler(40), *bsd]),
+        "in pieces far apart": " ".join([*mit[:34], filler(400), *mit[34:]]),
+    }
+    got = dict(zip(texts, one(spark, *texts.values()), strict=True))
+    for name in ("scrambled", "reversed", "stretched", "in pieces far apart"):
+        assert "mit-text" not in got[name].labels and got[name].score < 0.8, name
+    assert got["with a footer"].labels == "mit-text" and got["with a footer"].score > 0.95
+    assert got["late and twice"].labels == "bsd-text,mit-text" and got["late and twice"].score == 1
+
+
+def test_longest_chain_against_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        hits = sorted({(r.randrange(40), r.randrange(8)) for _ in range(r.randrange(25))})
+        reach, best = r.randrange(1, 30), {}
+        for i, (at, place) in enumerate(hits):  # by first hit of the chain
+            best[i, i] = 1
+            for f in range(i):
+                longest = max((n for (g, e), n in best.items() if g == f and hits[e][0] < at and hits[e][1] < place), default=0)
+                if longest and at - hits[f][0] < reach:
+                    best[f, i] = longest + 1
+        diagonals = {}
+        for at, place in hits:
+            diagonals.setdefault(at - place, []).append(place)
+        assert list(licenses.in_text_order(sorted(diagonals.items()))) == hits
+        assert licenses.longest_chain(hits, reach) == max(best.values(), default=0)
+
+
 def test_edges(spark):
     texts = [None, "", "mit", "MIT License", "mit license", "mit license " * 3, "cc by " * 40_000]
     for r, t in zip(one(spark, *texts), texts, strict=True):
