@@ -1,37 +1,56 @@
 """Format-preserving pseudonyms by keyed Feistel permutations, in DataFrame functions only.
 
-Payment cards (with a valid check digit), North American phone numbers, social security numbers, IPv4 addresses, dates,
-e-mail local parts and access keys are replaced by values of the same format. Each format is permuted by a Feistel
-network over exactly its valid values, so equal values get equal pseudonyms in all documents, different values stay
-different, and the key's holder can invert it.
+Payment cards (with a valid check digit, however grouped), North American and international phone numbers, social
+security numbers, IPv4 addresses, dates that exist, e-mail local parts, access keys and hex secrets are replaced by values
+of the same format. Each format is permuted by a Feistel network over exactly its valid values, so equal values get equal
+pseudonyms in all documents, different values stay different, and the key's holder can invert it.
+
+The key is given by the caller; queries take it from the setting KEY_SETTING (session_key).
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "rivulet-demo-key", 8
+KEY_SETTING, ROUNDS = "spark.rivulet.pii.key", 8
 
-#: What is looked for, in this order; the bounds on lengths keep matching linear in the text.
+#: What is looked for, in this order; each ends at the first character that can't belong to it, so matching is linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])|\+1[ .-]?[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "abroad": r"(?<![0-9A-Za-z+])\+[2-9](?:[ .-]?\(?[0-9]\)?){6,14}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "iso_date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
     "us_date": r"(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?(?:[0-9a-f]{8,64}|[0-9A-F]{8,64})(?![A-Za-z0-9])|(?<== [\"'])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?=[\"']))",
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?(?:[0-9a-f]{8,}+|[0-9A-F]{8,}+)(?![A-Za-z0-9])|(?<== [\"'])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?=[\"']))",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A character or word without which none of the patterns can match; most texts are settled by it.
 NEEDED = "[0-9@=:]|AKIA"
-#: Dates from FIRST_DATE on are permuted; DAYS = 147 * 487 days are 49 times the four-year cycle.
-FIRST_DATE, DAYS = "1904-01-01", (147, 487)
+#: Spans of years whose dates are permuted among themselves, with two factors of their number of days: 400 years from 304
+#: and from 2100 on (146,097 days each), 1904 to 2099 (71,589), and the rests up to 303 (110,667) and from 9700 on (109,572).
+SPAN_YEARS, SPAN = 400, (189, 773)
+NEAR, NEAR_DAYS = (1904, 2099), (147, 487)
+EARLY, EARLY_DAYS = 303, (111, 997)
+LATE, LATE_DAYS = 9700, (276, 397)
+#: Hex digits that one network permutes; longer values are permuted in parts of nearly equal length.
+HEX_PART = 64
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting names. Without one, a random key that this session keeps and no one else has:
+    its pseudonyms are linked across documents, but can't be inverted or repeated later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        spark.conf.set(KEY_SETTING, key := secrets.token_hex(16))
+    return key
 
 
 def _prf(tag: Column | str, round_: Column, value: Column, key: str) -> Column:
@@ -41,7 +60,7 @@ def _prf(tag: Column | str, round_: Column, value: Column, key: str) -> Column:
     return F.conv(F.substring(F.sha2(joined.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-def permuted(value: Column, a: int, b: int, tag: str, key: str, back: bool = False) -> Column:
+def permuted(value: Column, a: int, b: int, tag: Column | str, key: str, back: bool = False) -> Column:
     """A keyed permutation of the whole numbers under a * b (a, b under 2^31)."""
     start = F.struct(F.floor(value / F.lit(b)).cast("long").alias("l"), (value % F.lit(b)).cast("long").alias("r"))
     sign = -1 if back else 1
@@ -55,14 +74,22 @@ def permuted(value: Column, a: int, b: int, tag: str, key: str, back: bool = Fal
     return F.aggregate(rounds, start, step, lambda s: s["l"] * F.lit(b) + s["r"])
 
 
-def _network(text: Column, tag: str, key: str, back: bool, turn: Callable[[Column, Column], Column]) -> Column:
+def _in_parts(text: Column, part: int, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each of the nearly equal parts of a text, at most `part` characters long, and of its number."""
+    n = F.ceil(F.length(text) / F.lit(part)).cast("int")
+    cut = lambda i: F.floor(F.length(text) * i / n).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: f(F.substring(text, cut(i) + 1, cut(i + 1) - cut(i)), i)), "")
+
+
+def _network(text: Column, tag: Column | str, key: str, back: bool, turn: Callable[[Column, Column], Column]) -> Column:
     """A Feistel network over the halves of a text: each character of one half is turned by a number drawn from the other."""
+    tag = F.lit(tag) if isinstance(tag, str) else tag
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
     sign = -1 if back else 1
 
     def moved(s: Column, other: Column, i: Column) -> Column:
-        return F.array_join(F.transform(F.split(s, ""), lambda c, at: turn(c, sign * _prf(F.concat(F.lit(f"{tag}#"), at.cast("string")), i, other, key))), "")
+        return F.array_join(F.transform(F.split(s, ""), lambda c, at: turn(c, sign * _prf(F.concat(tag, F.lit("#"), at.cast("string")), i, other, key))), "")
 
     def step(s: Column, i: Column) -> Column:
         left, right = moved(s["l"], s["r"], i), moved(s["r"], s["l"], i)
@@ -86,9 +113,10 @@ def permuted_text(text: Column, tag: str, key: str, back: bool = False) -> Colum
 
 
 def permuted_hex(text: Column, tag: str, key: str, back: bool = False) -> Column:
-    """The same for strings of lower-case hex digits."""
+    """The same for strings of lower-case hex digits, of any length."""
     hexes, letters = "0123456789abcdef", "abcdefghijklmnop"
-    return F.translate(_network(F.translate(text, hexes, letters), tag, key, back, lambda c, by: _turned(c, by, "a", 16)), letters, hexes)
+    turn = lambda c, by: _turned(c, by, "a", 16)
+    return F.translate(_in_parts(F.translate(text, hexes, letters), HEX_PART, lambda part, i: _network(part, F.concat(F.lit(tag), i.cast("string")), key, back, turn)), letters, hexes)
 
 
 def _refilled(match: Column, digits: Column) -> Column:
@@ -101,12 +129,22 @@ def _padded(number: Column, width: int) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
+def _is_card(m: Column) -> Column:
+    return F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", ""))
+
+
 def _card(m: Column, key: str, back: bool) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
     body = F.concat(F.substring(digits, 1, 1), permuted_text(F.substring(digits, F.lit(2), n - 2), "card", key, back))
     check = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(body, d.cast("string"))))[0]
-    return F.when(F.call_function("luhn_check", digits) & n.between(13, 19), _refilled(m, F.concat(body, check.cast("string")))).otherwise(m)
+    return F.when(_is_card(m), _refilled(m, F.concat(body, check.cast("string")))).otherwise(m)
+
+
+def _abroad(m: Column, key: str, back: bool) -> Column:
+    """The first digit, which tells the part of the world, stays."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    return _refilled(m, F.concat(F.substring(digits, 1, 1), permuted_text(F.substring(digits, F.lit(2), F.length(digits)), "abroad", key, back)))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
@@ -129,11 +167,31 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
     return F.concat_ws("-", _padded(area, 3), _padded(F.floor(new / 9999).cast("long") % 99 + 1, 2), _padded(new % 9999 + 1, 4))
 
 
+def _turned_date(first: Column, day: Column, factors: tuple[int, int], key: str, back: bool) -> Column:
+    """The date that a date is turned to within the span that begins with the year first."""
+    start = F.make_date(first, F.lit(1), F.lit(1))
+    new = permuted(F.datediff(day, start).cast("long"), *factors, F.concat(F.lit("date"), first.cast("string")), key, back)
+    return F.date_add(start, new.cast("int"))
+
+
+def _existing(m: Column, form: str) -> Column:
+    """The date of a match, null if there is none; the year 0 doesn't exist."""
+    day = F.try_to_date(m, form)
+    return F.when(F.year(day) >= 1, day)
+
+
 def _date(m: Column, form: str, key: str, back: bool) -> Column:
-    day = F.datediff(F.try_to_date(m, form), F.lit(FIRST_DATE).cast("date")).cast("long")
-    inside = day.between(0, DAYS[0] * DAYS[1] - 1)
-    new = F.date_add(F.lit(FIRST_DATE).cast("date"), permuted(day, *DAYS, "date", key, back).cast("int"))
-    return F.when(inside, F.date_format(new, form)).otherwise(m)
+    day = _existing(m, form)
+    year = F.year(day)
+    origin = F.when(year < NEAR[0], F.lit(EARLY + 1)).otherwise(F.lit(NEAR[1] + 1))
+    span = (origin + F.floor((year - origin) / SPAN_YEARS) * SPAN_YEARS).cast("int")
+    new = (
+        F.when(year.between(*NEAR), _turned_date(F.lit(NEAR[0]), day, NEAR_DAYS, key, back))
+        .when(year <= EARLY, _turned_date(F.lit(1), day, EARLY_DAYS, key, back))
+        .when(year >= LATE, _turned_date(F.lit(LATE), day, LATE_DAYS, key, back))
+        .when(year.isNotNull(), _turned_date(span, day, SPAN, key, back))
+    )
+    return F.coalesce(F.date_format(new, form), m)
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
@@ -148,45 +206,79 @@ def _secret(m: Column, key: str, back: bool) -> Column:
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(value == F.lower(value), new).otherwise(F.upper(new)))
 
 
-def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
+def _kinds(m: Column) -> dict[str, Column]:
+    """Which format a match of ANY has: the first that holds. Cards are the rest."""
+    return {
+        "email": F.instr(m, "@") > 0,
+        "key": m.rlike(r"^AKIA[0-9A-Z]{16}$"),
+        "secret": m.rlike(r"[=:]|^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)$"),
+        "ssn": m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
+        "iso_date": m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+        "us_date": m.rlike(r"^[0-9]{2}/"),
+        "ip": m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"),
+        "phone": m.rlike(f"^(?:{PATTERNS['phone']})$"),
+        "abroad": F.startswith(m, F.lit("+")),
+    }
+
+
+def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one match of ANY; back gives the value of a pseudonym."""
-    at = F.instr(m, "@")
+    at, is_ = F.instr(m, "@"), _kinds(m)
     return (
-        F.when(at > 0, F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), "email", key, back), F.substring(m, at, F.length(m))))
-        .when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), permuted_text(F.substring(m, 5, 16), "key", key, back)))
-        .when(m.rlike(r"[=:]|^[0-9A-Fa-f]{32,64}$"), _secret(m, key, back))
-        .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key, back))
-        .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(m, "yyyy-MM-dd", key, back))
-        .when(m.rlike(r"^[0-9]{2}/"), _date(m, "MM/dd/yyyy", key, back))
-        .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ip(m, key, back))
-        .when(F.length(F.regexp_replace(m, "[^0-9]", "")) <= 11, _phone(m, key, back))
+        F.when(is_["email"], F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), "email", key, back), F.substring(m, at, F.length(m))))
+        .when(is_["key"], F.concat(F.lit("AKIA"), permuted_text(F.substring(m, 5, 16), "key", key, back)))
+        .when(is_["secret"], _secret(m, key, back))
+        .when(is_["ssn"], _ssn(m, key, back))
+        .when(is_["iso_date"], _date(m, "yyyy-MM-dd", key, back))
+        .when(is_["us_date"], _date(m, "MM/dd/yyyy", key, back))
+        .when(is_["ip"], _ip(m, key, back))
+        .when(is_["phone"], _phone(m, key, back))
+        .when(is_["abroad"], _abroad(m, key, back))
         .otherwise(_card(m, key, back))
     )
 
 
-def pseudonymised(text: Column, key: str = KEY, back: bool = False) -> Column:
-    """text with every match replaced; the parts between matches stay as they are."""
-    parts, found = F.split(text, ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def replaced(m: Column) -> Column:
+    """Whether a match of ANY is a value: not a date that doesn't exist, nor a number without a card's check digit."""
+    is_ = _kinds(m)
+    plain = is_["email"] | is_["key"] | is_["secret"] | is_["ssn"]
+    exists = F.when(is_["iso_date"], _existing(m, "yyyy-MM-dd").isNotNull()).when(is_["us_date"], _existing(m, "MM/dd/yyyy").isNotNull())
+    return F.when(plain, F.lit(True)).when(is_["iso_date"] | is_["us_date"], exists).when(is_["ip"] | is_["phone"] | is_["abroad"], F.lit(True)).otherwise(_is_card(m))
+
+
+def matches(text: Column) -> Column:
+    """The matches of ANY in order; an empty array if there are none, and for null."""
+    return F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def pseudonymised(text: Column, found: Column, key: str, back: bool = False) -> Column:
+    """text with its matches replaced; the parts between them stay as they are."""
     new = F.transform(found, lambda m: pseudonym(m, key, back))
-    joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
-    return F.when(text.rlike(NEEDED) & text.rlike(ANY), joined).otherwise(text)
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY), new, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
+    return F.when(F.size(found) > 0, joined).otherwise(text)
 
 
-def found_count(text: Column) -> Column:
-    """How many matches a text has."""
-    return F.when(text.rlike(NEEDED), F.regexp_count(text, F.lit(ANY))).otherwise(F.lit(0)).cast("long")
+def found_count(found: Column) -> Column:
+    """How many matches were values, and so replaced."""
+    return F.size(F.filter(found, replaced)).cast("long")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False) -> DataFrame:
-    """docs with the named column pseudonymised; all other columns stay.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False, counted: str | None = None) -> DataFrame:
+    """docs with the named column pseudonymised; all other columns stay. counted names a further column for the number of values.
 
-    Null stays null, empty stays empty; texts without a match are unchanged. Numbers that look like a card but fail the
-    check digit, dates that don't exist or lie outside 1904 to 2099 stay. Equal values get equal pseudonyms whatever
-    their separators.
+    Null stays null, empty stays empty, both count 0; texts without a match are unchanged. Numbers that look like a card
+    but fail the check digit, and dates that don't exist, stay and aren't counted. Dates change within their span of
+    years. Equal values get equal pseudonyms whatever their separators, in repeated rows and anywhere else. A very long
+    text is matched and replaced whole, in time in proportion to its length. An empty table gives an empty result. Only
+    the named column is read, so other columns' names don't matter.
     """
-    return docs.withColumn(text, pseudonymised(F.col(text), key, back))
+    at, other = F.col(f"`{text}`").cast("string"), [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*other)
+    rows = docs.select(whole.alias("row"), at.alias("text"), matches(at).alias("found"))
+    kept = [pseudonymised(F.col("text"), F.col("found"), key, back).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
+    return rows.select(*kept, *([found_count(F.col("found")).alias(counted)] if counted else []))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", pseudonymised(F.col("text")).alias("text"), found_count(F.col("text")).alias("n_found"))
+    return pseudonymise(docs, session_key(spark), counted="n_found")
