@@ -1,8 +1,10 @@
 """Media columns: MPEG transport streams.
 
 A payload becomes a column of 188-byte transport packets: program tables (PAT and PMT, with CRC), and elementary
-packets with presentation times, the first of each group a random-access point with a clock reference. Reading parses
-the tables, checks continuity counters, reassembles the elementary packets and returns the payload with its timestamps.
+packets with presentation times, the first of each group a random-access point with a clock reference. The times and
+random-access points stand in a column beside the media, so that a reader finds its place without parsing. Reading
+parses the tables, checks continuity counters, reassembles the elementary packets, and holds their times against that
+column.
 """
 
 from __future__ import annotations
@@ -56,12 +58,15 @@ def padded(data: bytes) -> bytes:
     return data + bytes(BLOCK - len(data) % BLOCK if not data or len(data) % BLOCK else 0)
 
 
-def mux(payload: bytes, length: int) -> bytes:
-    """The transport stream of a payload; length is kept in a descriptor of its program map."""
+def mux(payload: bytes, length: int) -> tuple[bytes, list[tuple[int, int, bool]]]:
+    """The transport stream of a payload, and (pts, packet, random access) of each of its elementary packets.
+
+    length is kept in a descriptor of its program map.
+    """
     pat = _section(0x00, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))
     info = struct.pack(">BBQ", LENGTH_TAG, 8, length)
     pmt = _section(0x02, PROGRAM, struct.pack(">HH", 0xE000 | DATA_PID, 0xF000 | len(info)) + info + struct.pack(">BHH", STREAM_TYPE, 0xE000 | DATA_PID, 0xF000))
-    out, counter, tables = [], 0, 0
+    out, times, counter, tables, packets = [], [], 0, 0, 0
     for k, at in enumerate(range(0, len(payload), CHUNK)):
         data, pts = payload[at : at + CHUNK], k * TICKS % (1 << 33)
         stamp = bytes([0x21 | (pts >> 29 & 0x0E), pts >> 22 & 0xFF, 0x01 | (pts >> 14 & 0xFE), pts >> 7 & 0xFF, 0x01 | (pts << 1 & 0xFE)])
@@ -69,8 +74,9 @@ def mux(payload: bytes, length: int) -> bytes:
         field = b""
         if k % GROUP == 0:
             out += [_table_packet(PAT_PID, tables & 15, pat), _table_packet(PMT_PID, tables & 15, pmt)]
-            tables += 1
+            tables, packets = tables + 1, packets + 2
             field = b"\x07\x50" + struct.pack(">IH", pts >> 1, (pts & 1) << 15 | 0x7E00)
+        times.append((pts, packets, bool(field)))
         first = True
         i = 0
         whole = (len(pes) - (184 - len(field))) // 184 if len(pes) > 184 - len(field) else 0
@@ -85,15 +91,15 @@ def mux(payload: bytes, length: int) -> bytes:
                     field = b"\0" if stuff == 1 else bytes([stuff - 1, 0]) + b"\xff" * (stuff - 2)
                 room = left
             out.append(struct.pack(">BHB", SYNC, (0x4000 if first else 0) | DATA_PID, (0x30 if field else 0x10) | counter) + field + pes[i : i + room])
-            counter, i, first, field = counter + 1 & 15, i + room, False, b""
+            counter, i, first, field, packets = counter + 1 & 15, i + room, False, b"", packets + 1
             if whole > 0 and i < len(pes):  # packets without a field in one step
                 full = np.empty((whole, PACKET), np.uint8)
                 full[:, 0], full[:, 1], full[:, 2] = SYNC, DATA_PID >> 8, DATA_PID & 0xFF
                 full[:, 3] = 0x10 | ((counter + np.arange(whole)) & 15)
                 full[:, 4:] = np.frombuffer(pes, np.uint8, whole * 184, i).reshape(whole, 184)
                 out.append(full.tobytes())
-                counter, i, whole = counter + whole & 15, i + whole * 184, 0
-    return b"".join(out)
+                counter, i, packets, whole = counter + whole & 15, i + whole * 184, packets + whole, 0
+    return b"".join(out), times
 
 
 class Demuxed:
@@ -164,39 +170,55 @@ class Demuxed:
         return f"packets={self.packets};tables={self.tables};pes={len(self.times)};breaks={self.breaks};random_access={len(points)};first_pts={self.times[0][0]};last_pts={self.times[-1][0]};index_crc={index:08x}"
 
 
+TIMES = "array<struct<pts: long, packet: long, random_access: boolean>>"
+
+
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, media: each whole text (null: empty) as a transport stream. Equal texts give equal media."""
+    """doc_id, media, times: each whole text (null: empty) as a transport stream, with its times and random-access points.
+
+    times has (pts, packet, random_access) of each elementary packet. Equal texts, and so repeated rows, give equal
+    media. A very long text is muxed whole, its row as large as itself. An empty table gives an empty result. Only the
+    two named columns are read, so clashing names don't matter.
+    """
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def media(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(f"media binary, times {TIMES}")
+    def media(texts: pd.Series) -> pd.DataFrame:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        return pd.Series([mux(padded(x), len(x)) for x in raw])
+        made = [mux(padded(x), len(x)) for x in raw]
+        return pd.DataFrame({"media": [m for m, _ in made], "times": [_structs(t) for _, t in made]})
+
+    return docs.select("doc_id", media(F.col(text).cast("string")).alias("m")).select("doc_id", "m.*")
+
 
-    return docs.select("doc_id", media(F.col(text).cast("string")).alias("media"))
+def _structs(times: list[tuple[int, int, bool]]) -> list[dict]:
+    return [{"pts": a, "packet": b, "random_access": c} for a, b, c in times]
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """What the stored bytes of (doc_id, media) say; a damaged stream is an error, a gap in its counters a count.
+    """What the stored bytes of (doc_id, media, times) say; a damaged stream is an error, a gap in its counters a count.
 
-    Also the elementary packets' times: an array of (pts, packet, random_access).
+    times, as read from the packets, must equal the stored column; a mismatch is an error. Repeated rows give equal
+    rows, an empty table none. A very long stream is read whole. Further columns, whatever their names, take no part.
     """
     bounded_batches(stored.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<struct<pts: long, packet: long, random_access: boolean>>"
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times {TIMES}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for doc_id, media in zip(x["doc_id"], x["media"], strict=True):
+            for doc_id, media, times in zip(x["doc_id"], x["media"], x["times"], strict=True):
                 d = Demuxed(media := bytes(media))
-                out.append((doc_id, d.length, len(d.payload), hashlib.sha256(d.payload).hexdigest(), zlib.crc32(d.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), d.feature(), [{"pts": a, "packet": b, "random_access": c} for a, b, c in d.times]))
+                if [(t["pts"], t["packet"], t["random_access"]) for t in times] != d.times:
+                    raise ValueError("the stored times are not the stream's")
+                out.append((doc_id, d.length, len(d.payload), hashlib.sha256(d.payload).hexdigest(), zlib.crc32(d.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), d.feature(), _structs(d.times)))
             got = pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times"])
             got["doc_id"] = got["doc_id"].astype("Int64")
             yield got
 
-    return stored.select(F.col("doc_id").cast("long"), "media").mapInPandas(run, schema)
+    return stored.select(F.col("doc_id").cast("long"), "media", "times").mapInPandas(run, schema)
 
 
 def op8_transport(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return features(durable(store(docs), "media")).drop("times")
+    return features(durable(store(docs), "media"))
