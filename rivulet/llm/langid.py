@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import bounded_batches
 from rivulet.llm.sampling import bounded_sample, held_out, learnable
 
-#: Features; longest n-gram; rows learned from at most (a documented bound); one row in this many calibrates.
-FEATURES, ORDER, SAMPLE, CALIBRATE = 1 << 16, 3, 2400, 5
+#: Features; longest n-gram; rows learned from at most, their longest text in characters (documented bounds); one row in this many calibrates.
+FEATURES, ORDER, SAMPLE, LONGEST, CALIBRATE = 1 << 16, 3, 2400, 20_000, 5
 #: Learning rate and its smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 3
 UNKNOWN = "und"
@@ -41,8 +41,8 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not letter.any():
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     code = np.where(letter, code, 32)
-    code = code[letter | np.r_[True, letter[:-1]]]  # one space for a run of others
-    code = np.r_[np.uint32(32), code, np.uint32(32)].astype(np.uint32)
+    code = code[letter | np.r_[False, letter[:-1]]]  # one space for a run of others
+    code = np.r_[np.uint32(32), code, np.full(int(code[-1] != 32), 32)].astype(np.uint32)  # and one at either end
     total = np.zeros(FEATURES, np.int64)
     for at in range(0, len(code), STEP):
         part = code[at : at + STEP + ORDER - 1]
@@ -121,8 +121,12 @@ class Model:
         return self.languages[int(p.argmax())], float(min(1.0, p.max()))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from docs (doc_id, text, lang): null languages and held-out documents are not looked at."""
+def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """A model from docs (doc_id, text, lang): null languages and held-out documents are not looked at.
+
+    Document frequencies count every learnable row, repeated ones each time, and whole texts. Weights are learned from a
+    sample of texts of at most `longest` characters. An empty table gives a model that knows no language.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
 
@@ -143,7 +147,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         else:
             df[r["feature"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    few = bounded_sample(rows, "lang", "doc_id", sample)
+    few = bounded_sample(rows.where(F.length("text") <= longest), "lang", "doc_id", sample)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -180,7 +184,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang); an empty table gives an empty result."""
+    """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang); an empty table gives an empty result.
+
+    Null and letterless texts are `und`; of equally likely languages the first in code-point order is told. Repeated rows
+    are told alike; very long texts are counted in steps of STEP code points. Further columns take no part.
+    """
     out = predict(docs.select("doc_id", "text"), fit(docs, sample))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Bytes are embedded; learned filters slide over overlapping chunks that cover the whole document; each filter's largest
-answer in a chunk is kept; the largest, mean and least of these over the chunks are combined into one probability.
+answer in a chunk is kept, and the largest of these over the chunks; the output layer combines them into one probability.
+A text shorter than a chunk is filled up with a symbol of its own, which filters can learn to answer.
 """
 
 from __future__ import annotations
@@ -16,11 +17,9 @@ from rivulet.llm.sampling import bounded_sample, held_out, learnable
 
 #: Bytes between chunk starts (chunks are twice as long), between filter places, and under a filter.
 HALF, STRIDE, WIDTH = 256, 4, 12
-EMBEDDING, FILTERS = 8, 32
+EMBEDDING, FILTERS = 8, 64
 #: Labelled rows learned from at most, their longest text in characters (documented bounds of the sample), passes, rows a step, learning rate.
 SAMPLE, LONGEST, EPOCHS, BATCH, RATE = 1200, 20_000, 10, 16, 0.01
-#: Lengths in bytes at which a text's shortness is felt: short texts can't excite many filters.
-SHORT = (16.0, 64.0, 256.0)
 #: Bytes that one step of scoring embeds.
 STEP = HALF * 256
 PAD = 256
@@ -33,7 +32,7 @@ class Network:
             "embed": r.normal(0, 0.5, (257, EMBEDDING)),
             "filters": r.normal(0, (WIDTH * EMBEDDING) ** -0.5, (WIDTH * EMBEDDING, FILTERS)),
             "bias": np.zeros(FILTERS),
-            "out": r.normal(0, 0.05, 3 * FILTERS + len(SHORT)),
+            "out": r.normal(0, 0.05, FILTERS),
             "end": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -65,39 +64,32 @@ class Network:
             chunks, places = np.where(second, most[1:], most[:-1]), np.where(second, where[1:], where[:-1])
         else:
             chunks, places = most, where
-        act = np.tanh(chunks + self.p["bias"])
-        top, low = act.argmax(0), act.argmin(0)
-        f = np.arange(FILTERS)
-        pooled = np.concatenate([act[top, f], act.mean(0), act[low, f], np.exp(-len(data) / np.array(SHORT))])
+        top, f = chunks.argmax(0), np.arange(FILTERS)
+        pooled = np.tanh(chunks[top, f] + self.p["bias"])
         logit = float(pooled @ self.p["out"] + self.p["end"][0])
-        return logit, pooled, act, places, top, low
+        return logit, pooled, places[top, f], chunks
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.forward(_bytes(text))[0] + self.prior, -30, 30))))
 
     def gradient(self, data: np.ndarray, label: int, into: dict[str, np.ndarray]) -> float:
-        logit, pooled, act, places, top, low = self.forward(data)
+        logit, pooled, places, _ = self.forward(data)
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         d = np.float32(p - label)
         into["out"] += d * pooled
         into["end"] += d
-        f = np.arange(FILTERS)
-        g = np.repeat((d * self.p["out"][FILTERS : 2 * FILTERS] / len(act))[None, :], len(act), 0)
-        g[top, f] += d * self.p["out"][:FILTERS]
-        g[low, f] += d * self.p["out"][2 * FILTERS : 3 * FILTERS]
-        g *= 1 - act * act
-        into["bias"] += g.sum(0)
-        padded = np.r_[data, np.full(WIDTH + STRIDE, PAD, np.int64)]
-        under = padded[places[:, :, None] + np.arange(WIDTH)]  # chunks, filters, width
-        e = self.p["embed"][under].reshape(len(act), FILTERS, -1)
-        into["filters"] += np.einsum("cf,cfk->kf", g, e)
-        back = (g[:, :, None] * self.p["filters"].T[None]).reshape(-1, EMBEDDING)
+        g = d * self.p["out"] * (1 - pooled * pooled)
+        into["bias"] += g
+        under = np.r_[data, np.full(WIDTH + STRIDE, PAD, np.int64)][places[:, None] + np.arange(WIDTH)]  # filters, width
+        into["filters"] += (g[:, None] * self.p["embed"][under].reshape(FILTERS, -1)).T
+        back = (g[:, None] * self.p["filters"].T).reshape(-1, EMBEDDING)
         np.add.at(into["embed"], under.reshape(-1), back)
         return float(-np.log(max(1e-7, p if label else 1 - p)))
 
 
 def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    return np.r_[data, np.full(max(0, 2 * HALF - len(data)), PAD)]
 
 
 def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
@@ -125,11 +117,13 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Network:
     """A network from the labelled, not held-out rows: docs (doc_id, text), labels (doc_id, quality).
 
-    Rows without a quality of 0 or 1 teach nothing; of repeated labels of a document the least counts.
+    Rows without a quality of 0 or 1, and texts longer than `longest`, teach nothing; of repeated labels of a document
+    the least counts, and of repeated texts of an id the first in code-point order. Empty tables give a network that has
+    learned nothing. Only the named columns are read.
     """
     rows = labels.where(learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = bounded_sample(rows, "quality", "doc_id", sample)  # at most `sample` rows: may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest).dropDuplicates(["doc_id"]).collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r.doc_id)
     net = learn([r.text for r in got], [r.quality for r in got])
     # the sample holds both labels alike; all labelled rows say how frequent each is
@@ -141,7 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs: the whole text alone decides; null counts as empty."""
+    """doc_id, held_out, score, predicted for each row of docs: the whole text alone decides; null counts as empty.
+
+    A score of exactly 0.5 predicts 1. Repeated rows have equal scores. A very long text is read in steps of STEP bytes.
+    An empty table gives an empty result. Only doc_id and text are read, so clashing names don't matter.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

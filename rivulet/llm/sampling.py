@@ -18,16 +18,17 @@ def learnable(key: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About most / (number of labels) rows of each label, most at least one, by the smallest hashes of their keys.
+    """At most `most` rows, about as many of each label, by the smallest hashes of their keys.
 
-    A hash threshold from the label's count comes first, so that no task gathers a frequent label's rows.
+    If there are more labels than `most`, the most frequent ones have one row each. A hash threshold from the label's
+    count comes first, so that no task gathers a frequent label's rows.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.orderBy(F.desc("n"), label).limit(most).collect()
     each = max(1, most // max(1, len(counts)))
+    bounds = [(r[label], min(2.0, (each * 1.5 + 30) / r["n"])) for r in counts]  # at most `most` rows
+    bounds = rows.sparkSession.createDataFrame(bounds, f"__label {rows.schema[label].dataType.simpleString()}, __bound double")
     unit = (F.xxhash64(key, F.lit("sample")).bitwiseAND(F.lit((1 << 31) - 1))) / F.lit(float(1 << 31))
-    keep = F.lit(False)
-    for r in counts:
-        if r[label] is not None:
-            keep = keep | ((F.col(label) == F.lit(r[label])) & (unit < min(2.0, (each * 1.5 + 30) / r["__n"])))
+    kept = rows.join(F.broadcast(bounds), (F.col(label) == F.col("__label")) & (unit < F.col("__bound")))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(unit, key))
-    return rows.where(keep).withColumn("__rank", rank).where(F.col("__rank") <= each).drop("__rank")
+    return kept.withColumn("__rank", rank).where(F.col("__rank") <= each).drop("__rank", "__label", "__bound")
