@@ -106,6 +106,89 @@ def decode_list(c: Column) -> Column:
     return F.when(c.isNotNull(), F.when(size > 0, items).otherwise(F.array().cast("array<int>")))
 
 
+def encode_uuid(c: Column) -> Column:
+    """A UUID's bytes: its text in ASCII, as serialised; another text is an error."""
+    form = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    return F.when(c.isNull(), F.lit(None)).when(c.rlike(form), F.encode(F.lower(c), "UTF-8")).otherwise(F.raise_error(F.lit("not a UUID")).cast("binary"))
+
+
+def decode_uuid(c: Column) -> Column:
+    text = F.decode(c, "UTF-8")
+    form = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+    return F.when(c.isNull(), F.lit(None)).when(F.lower(text).rlike(form), F.lower(text)).otherwise(F.raise_error(F.lit("not a UUID")))
+
+
+def encode_bytes(c: Column) -> Column:
+    """Bytes are their own serialised form."""
+    return c.cast("binary")
+
+
+def decode_bytes(c: Column) -> Column:
+    return c.cast("binary")
+
+
+def encode_void(c: Column) -> Column:
+    """Only null can be serialised, as null."""
+    return F.when(c.isNotNull(), F.raise_error(F.lit("not void")).cast("binary"))
+
+
+def decode_void(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.raise_error(F.lit("not void")))
+
+
+#: Converters of header values, as of keys and values, by name: (to bytes, from bytes).
+CONVERTERS = {
+    "short": (lambda c: encode_number(c, "short"), lambda c: decode_number(c, "short")),
+    "int": (lambda c: encode_number(c, "int"), lambda c: decode_number(c, "int")),
+    "long": (lambda c: encode_number(c, "long"), lambda c: decode_number(c, "long")),
+    "boolean": (encode_boolean, decode_boolean),
+    "string": (encode_string, decode_string),
+    "bytes": (encode_bytes, decode_bytes),
+    "uuid": (encode_uuid, decode_uuid),
+}
+
+
+def to_header(headers: Column, name: str, value: Column, converter: str = "string") -> Column:
+    """headers with one more, its value converted to bytes."""
+    one = F.struct(F.lit(name).alias("key"), CONVERTERS[converter][0](value).alias("value"))
+    return F.array_append(F.coalesce(headers, F.array().cast("array<struct<key: string, value: binary>>")), one)
+
+
+def from_header(headers: Column, name: str, converter: str = "string") -> Column:
+    """The value of the last header of that name; null if there is none."""
+    own = F.filter(headers, lambda h: h["key"] == name)
+    return F.when(F.size(own) > 0, CONVERTERS[converter][1](F.get(own, F.size(own) - 1)["value"]))
+
+
+def decimal_bytes(c: Column, scale: int) -> Column:
+    """A decimal's unscaled number as base64 of its shortest big-endian two's complement bytes, for up to 18 digits."""
+    n = (c.cast(f"decimal(38,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("long")
+    size = F.lit(8)
+    for width in range(7, 0, -1):
+        low, high = -(1 << (8 * width - 1)), (1 << (8 * width - 1)) - 1
+        size = F.when(n.between(low, high), width).otherwise(size)
+    return F.base64(F.unhex(F.right(F.lpad(F.hex(n), 16, "0"), 2 * size)))
+
+
+def decimal_of_bytes(c: Column, scale: int) -> Column:
+    raw = F.hex(F.unbase64(c))
+    negative = F.conv(F.substring(raw, 1, 2), 16, 10).cast("int") >= 128
+    wide = F.lpad(raw, 16, "0")
+    wide = F.when(negative, F.lpad(raw, 16, "F")).otherwise(wide)
+    return (decode_number(F.unhex(wide), "long").cast("decimal(38,0)") / F.lit(10**scale).cast("decimal(38,0)")).cast(f"decimal(18,{scale})")
+
+
+def decimal_json(c: Column, scale: int, form: str = "base64") -> Column:
+    """A decimal in JSON: its bytes in base64 (a string), or a plain number."""
+    if form not in ("base64", "numeric"):
+        raise ValueError(f"unknown form of decimals: {form}")
+    return F.concat(F.lit('"'), decimal_bytes(c, scale), F.lit('"')) if form == "base64" else c.cast(f"decimal(38,{scale})").cast("string")
+
+
+def decimal_of_json(text: Column, scale: int, form: str = "base64") -> Column:
+    return decimal_of_bytes(F.regexp_replace(text, '"', ""), scale) if form == "base64" else text.cast(f"decimal(18,{scale})")
+
+
 def envelope_schema(kind: DataType, optional: bool = True, name: str | None = None) -> dict:
     """The `schema` part of a JSON envelope for a type."""
     out: dict

@@ -34,6 +34,19 @@ def tolerated(df: DataFrame, check: Column, reason: str, tolerance: str = "all")
     return df.where(ok), df.where(~ok).withColumn("reason", F.lit(reason))
 
 
+def processed(df: DataFrame, value: Callable[[Column], Column], fallback: str = "continue") -> tuple[DataFrame, DataFrame]:
+    """(good, dead letters) of a computation of the value that gives null where it fails (a try_ function).
+
+    `continue` sets records aside whose value can't be computed, `fail` makes the first one an error.
+    """
+    out = df.withColumn("__v", value(F.col("value")))
+    bad = F.col("value").isNotNull() & F.col("__v").isNull()
+    if fallback == "fail":
+        out = out.withColumn("__v", F.when(bad, F.raise_error(F.concat(F.lit("cannot process: "), F.col("value").cast("string")))).otherwise(F.col("__v")))
+        return out.withColumn("value", F.col("__v")).drop("__v"), df.where(F.lit(False)).withColumn("reason", F.lit(""))
+    return out.where(~bad).withColumn("value", F.col("__v")).drop("__v"), out.where(bad).drop("__v").withColumn("reason", F.lit("the value can't be computed"))
+
+
 def delivering(write: Callable[[DataFrame, int], None], on_error: Callable[[Exception, int], str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink with a handler that says `continue` or `fail` for a batch that can't be delivered."""
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.operators import scan
+from rivulet.operators.windows import BLOCK_OFFSETS
+
 
 def _invalid(ts: Column) -> Column:
     return ts.isNull() | (ts < 0)
@@ -24,8 +27,8 @@ def partition_time_if_invalid(df: DataFrame, ts: Column | None = None, partition
     """Invalid times become the largest valid time so far of the partition; before any valid one the record goes."""
     ts = F.col("ts") if ts is None else ts
     valid = F.when(~_invalid(ts), ts)
-    upto = Window.partitionBy(partition).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("ts", F.coalesce(valid, F.max(valid).over(upto))).where(F.col("ts").isNotNull())
+    rows = scan.running(df.withColumn("ts", valid), [partition], ["offset"], F.floor(F.col("offset") / F.lit(BLOCK_OFFSETS)), __newest=("max", F.col("ts")))
+    return rows.withColumn("ts", F.coalesce("ts", "__newest")).drop("__newest").where(F.col("ts").isNotNull())
 
 
 def wall_clock(df: DataFrame) -> DataFrame:

@@ -46,6 +46,25 @@ def changelog(df: DataFrame, aggs: dict[str, Column], by: Sequence[str] = ("key"
     return accepted(df, values_too).select(*by, "offset", "ts", *(c.over(upto).alias(n) for n, c in aggs.items()))
 
 
+def cached(changelog_: DataFrame, commit: int, by: Sequence[str] = ("key",)) -> DataFrame:
+    """What a caching store forwards of a changelog: a key's last update of each `commit` offsets. Maxima combine before the shuffle."""
+    rest = [c for c in changelog_.columns if c not in by]
+    last = changelog_.groupBy(*by, F.floor(F.col("offset") / F.lit(commit)).alias("__commit")).agg(F.max_by(F.struct(*rest), "offset").alias("__r"))
+    return last.select(*by, "__r.*")
+
+
+def list_values(df: DataFrame, by: Sequence[str] = ("key",)) -> DataFrame:
+    """A list-value store: a key's values in order of offset; a null value deletes the list so far.
+
+    A key's list is one row, as it is in such a store.
+    """
+    keyed = df.where(F.col("key").isNotNull())
+    cut = keyed.where("value IS NULL").groupBy(*by).agg(F.max("offset").alias("__cut"))
+    left = keyed.where("value IS NOT NULL").join(cut, list(by), "left").where(F.col("__cut").isNull() | (F.col("offset") > F.col("__cut")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"])
+    return left.groupBy(*by).agg(ordered.alias("value"))
+
+
 def cogroup(streams: dict[str, DataFrame], aggs: dict[str, Callable[[Callable[[Column], Column]], Column]], by: Sequence[str] = ("key",), values_too: bool = True) -> DataFrame:
     """Several streams into one accumulator.
 

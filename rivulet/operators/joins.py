@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.operators import scan
 from rivulet.record import duration
 
-#: Rows of a global table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class JoinWindows:
@@ -82,7 +80,7 @@ def stream_stream(left: DataFrame, right: DataFrame, windows: JoinWindows, value
     return out.unionByName(_result(renamed.select("*", *nulls), value))
 
 
-def stream_table(stream: DataFrame, table: DataFrame, value: Column, how: str = "inner", broadcast: bool = False) -> DataFrame:
+def stream_table(stream: DataFrame, table: DataFrame, value: Column, how: str = "inner") -> DataFrame:
     """Each stream record with its key's row of a finished table; the record's time is kept. value sees value and table_value.
 
     Left keeps records without a match and with a null key; records with a null value go.
@@ -90,30 +88,35 @@ def stream_table(stream: DataFrame, table: DataFrame, value: Column, how: str =
     if how not in ("inner", "left"):
         raise ValueError(f"unknown join: {how}")
     t = table.select(F.col("key").alias("__t_key"), F.col("value").alias("table_value"))
-    joined = stream.where("value IS NOT NULL").join(F.broadcast(t) if broadcast else t, F.col("key") == F.col("__t_key"), how)
+    joined = stream.where("value IS NOT NULL").join(t, F.col("key") == F.col("__t_key"), how)
     return joined.select("key", value.alias("value"), *(c for c in ("ts", "offset") if c in stream.columns))
 
 
 def stream_global(stream: DataFrame, table: DataFrame, mapped_key: Column, value: Column, how: str = "inner") -> DataFrame:
-    """A join on a mapped key with a replicated table: broadcast if it is counted small; a null mapped key matches nothing."""
+    """A join on a mapped key with a replicated table; a null mapped key matches nothing.
+
+    Whether the table is small enough to be replicated is the planner's decision at run time, when its size in bytes is
+    known (spark.sql.adaptive.autoBroadcastJoinThreshold); a larger one is joined by a shuffle.
+    """
     t = table.select(F.col("key").alias("__t_key"), F.col("value").alias("table_value"))
-    small = t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = stream.where("value IS NOT NULL").withColumn("__m", mapped_key).join(F.broadcast(t) if small else t, F.col("__m") == F.col("__t_key"), how)
+    joined = stream.where("value IS NOT NULL").withColumn("__m", mapped_key).join(t, F.col("__m") == F.col("__t_key"), how)
     return joined.select("key", value.alias("value"), *(c for c in ("ts", "offset") if c in stream.columns))
 
 
-def stream_as_of(stream: DataFrame, versioned: DataFrame, value: Column, how: str = "inner") -> DataFrame:
+def stream_as_of(stream: DataFrame, versioned: DataFrame, value: Column, how: str = "inner", block: int | str = "7 days") -> DataFrame:
     """Each stream record with its key's value as of the record's time, from updates (key, value, ts, offset).
 
-    Updates and records are sorted together once for each key, an update before a record of the same time, and the last
-    update is carried forward: no range join. A null update deletes.
+    Updates and records are sorted together, an update before a record of the same time, and the last update is carried
+    forward: no range join. A key's history is cut into blocks of time, so a frequent key is spread over them. A null
+    update deletes.
     """
+    # an update without a value is still an update: its struct isn't null
     u = versioned.where("key IS NOT NULL").select("key", F.col("ts"), F.struct(F.col("value")).alias("__u"), F.lit(0).alias("__kind"), F.col("offset").alias("__o"))
     keep = [c for c in stream.columns if c not in ("key", "ts")]
     s = stream.where("value IS NOT NULL").select("key", "ts", F.struct(*keep).alias("__s"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__o"))
     both = u.unionByName(s.where("key IS NOT NULL"), allowMissingColumns=True)
-    order = Window.partitionBy("key").orderBy("ts", "__kind", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("table_value", F.last("__u", ignorenulls=True).over(order)["value"]).where("__kind = 1")
+    found = scan.running(both, ["key"], ["ts", "__kind", "__o"], F.floor(F.col("ts") / F.lit(duration(block))), __last=("last", F.col("__u"))).where("__kind = 1")
+    found = found.withColumn("table_value", F.col("__last.value"))
     if how == "left":
         found = found.unionByName(s.where("key IS NULL"), allowMissingColumns=True)
     else:

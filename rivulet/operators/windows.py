@@ -6,14 +6,20 @@ ends. All times are milliseconds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators import scan
+from rivulet.operators.suppress import Buffer, suppressed
+from rivulet.operators.walk import walk
 from rivulet.record import duration
 
+#: Offsets of a log partition that one task scans in order.
+BLOCK_OFFSETS = 1 << 20
+
 
 @dataclass(frozen=True)
 class TimeWindows:
@@ -138,15 +144,71 @@ def windowed(df: DataFrame, windows, aggs: dict[str, Column], by: Sequence[str]
     return assigned.groupBy(*by, "window_start", "window_end").agg(*(c.alias(n) for n, c in aggs.items()))
 
 
-def with_stream_time(df: DataFrame, partition: Sequence[str] = ("partition",)) -> DataFrame:
-    """The running maximum of ts by arrival, the record's own included: exactly what a record-at-a-time operator sees."""
-    upto = Window.partitionBy(*partition).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("stream_time", F.max("ts").over(upto))
+def with_stream_time(df: DataFrame, partition: Sequence[str] = ("partition",), block: int = BLOCK_OFFSETS) -> DataFrame:
+    """The running maximum of ts by arrival, the record's own included: exactly what a record-at-a-time operator sees.
+
+    A partition is scanned in blocks of so many offsets, each with the maximum of those before it.
+    """
+    return scan.running(df, partition, ["offset"], F.floor(F.col("offset") / F.lit(block)), stream_time=("max", F.col("ts")))
+
+
+def drop_late(df: DataFrame, windows: TimeWindows | SlidingWindows | CustomWindows, partition: Sequence[str] = ("partition",)) -> DataFrame:
+    """Records with their windows that were open on arrival: window_end > stream_time - grace.
+
+    A sliding window begins at or after a record that was not late itself, and counts a record only if it was still open
+    when the record came.
+    """
+    timed, closed = with_stream_time(df, partition), F.col("stream_time") - windows.grace
+    if isinstance(windows, SlidingWindows):
+        timed = timed.where(F.col("key").isNotNull() & (F.col("ts") + windows.difference > closed))
+    return windows.assign(timed).where(F.col("window_end") > closed)
+
+
+def late_sessions(df: DataFrame, windows: SessionWindows, partition: Sequence[str] = ("partition",)) -> DataFrame:
+    """key, window_start, window_end, count of sessions from records in order of arrival.
 
+    A record is late if the session that it would be in ends before stream_time - grace - gap; it is dropped then.
+    """
+    gap, grace = windows.gap, windows.grace
+
+    def visit(key: tuple, records: Iterator[dict]) -> Iterator[tuple]:
+        held: list[tuple[int, int, int]] = []
+        for r in records:
+            ts = r["ts"]
+            touched = [s for s in held if s[0] - gap <= ts <= s[1] + gap]
+            start, end = min([ts, *(s[0] for s in touched)]), max([ts, *(s[1] for s in touched)])
+            if end < r["stream_time"] - grace - gap:
+                continue
+            held = [s for s in held if s not in touched]
+            done = [s for s in held if s[1] < r["stream_time"] - grace - 2 * gap]  # no accepted record can reach them
+            yield from ((key[0], *s) for s in done)
+            held = [*(s for s in held if s not in done), (start, end, 1 + sum(s[2] for s in touched))]
+        yield from ((key[0], *s) for s in held)
+
+    rows = with_stream_time(df, partition).where(F.col("key").isNotNull()).select("key", "ts", "offset", "stream_time")
+    return walk(rows, ["key"], ["offset"], visit, f"key {df.schema['key'].dataType.simpleString()}, window_start long, window_end long, count long")
+
+
+def fold_sessions(df: DataFrame, windows: SessionWindows, zero: object, add: Callable[[object, dict], object], merge: Callable[[object, object], object], kind: str) -> DataFrame:
+    """key, window_start, window_end, value: sessions with a user's accumulator in order of arrival.
+
+    add takes an accumulator and a record; merge joins the accumulators of two sessions that a record connects, the
+    earlier one first. kind is the accumulator's SQL type. For built-in aggregates `windowed` combines before the shuffle.
+    """
+    gap = windows.gap
 
-def drop_late(df: DataFrame, windows: TimeWindows, partition: Sequence[str] = ("partition",)) -> DataFrame:
-    """Records with their windows that were open on arrival: window_end > stream_time - grace."""
-    return windows.assign(with_stream_time(df, partition)).where(F.col("window_end") > F.col("stream_time") - windows.grace)
+    def visit(key: tuple, records: Iterator[dict]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        for r in records:
+            ts = r["ts"]
+            touched = sorted((s for s in held if s[0] - gap <= ts <= s[1] + gap), key=lambda s: s[0])
+            value = touched[0][2] if touched else zero
+            for s in touched[1:]:
+                value = merge(value, s[2])
+            held = [*(s for s in held if s not in touched), (min([ts, *(s[0] for s in touched)]), max([ts, *(s[1] for s in touched)]), add(value, r))]
+        yield from ((key[0], *s) for s in held)
+
+    return walk(df.where(F.col("key").isNotNull()), ["key"], ["offset"], visit, f"key {df.schema['key'].dataType.simpleString()}, window_start long, window_end long, value {kind}")
 
 
 def final_only(windowed_df: DataFrame, stream_time: Column, grace: int) -> DataFrame:
@@ -163,39 +225,28 @@ def trailing(df: DataFrame, difference: int, aggs: dict[str, Column], by: Sequen
 def suppress_until_limit(updates: DataFrame, limit: int, by: Sequence[str] = ("key",)) -> DataFrame:
     """Updates (by, value, ts, offset) held for limit after a key's first pending one: the last update within it is sent.
 
-    Later updates replace the held value but don't restart the time. A key's updates are cut into runs by an ordered
-    fold: a run starts with the first update later than the limit after the start of the run before.
+    Later updates replace the held value but don't restart the time; what is held at the end is sent too. A key's updates
+    are walked in order of time, so memory holds one update.
     """
-    limit = duration(limit)
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "offset", "value")))
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<struct<start: long, ts: long, offset: long>>").alias("out"))
+    limit, rest = duration(limit), [c for c in updates.columns if c not in by and c != "offset"]
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.when(acc["start"].isNull() | (x["ts"] >= acc["start"] + limit), x["ts"]).otherwise(acc["start"])
-        return F.struct(start.alias("start"), F.array_append(acc["out"], F.struct(start.alias("start"), x["ts"].cast("long").alias("ts"), x["offset"].cast("long").alias("offset"))).alias("out"))
+    def visit(key: tuple, records: Iterator[dict]) -> Iterator[tuple]:
+        start = last = None
+        for r in records:
+            if start is not None and r["ts"] >= start + limit:
+                yield (*key, last["offset"], start, *(last[c] for c in rest))
+                start = None
+            # of updates held together the one with the largest offset counts
+            if start is None or r["offset"] > last["offset"]:
+                last = r
+            start = r["ts"] if start is None else start
+        yield (*key, last["offset"], start, *(last[c] for c in rest))
 
-    runs = updates.where(F.col("key").isNotNull()).groupBy(*by).agg(F.aggregate(ordered, zero, step, lambda a: a["out"]).alias("__runs"))
-    runs = runs.select(*by, F.explode("__runs").alias("r")).select(*by, F.col("r.start").alias("held_from"), F.col("r.offset").alias("offset"))
-    last = runs.groupBy(*by, "held_from").agg(F.max("offset").alias("offset"))
-    return last.join(updates, [*by, "offset"])
+    kind = lambda c: f"`{c}` {updates.schema[c].dataType.simpleString()}"
+    schema = ", ".join([*map(kind, by), kind("offset"), "held_from long", *map(kind, rest)])
+    return walk(updates.where(F.col("key").isNotNull()), by, ["ts", "offset"], visit, schema)
 
 
 def suppress_records(updates: DataFrame, most: int) -> DataFrame:
-    """A buffer of at most `most` keys that sends the oldest early when full, over a stream of updates in one partition.
-
-    Batch form for small control streams: the buffer is one ordered state, so it is folded in one place.
-    """
-    if most < 1:
-        raise ValueError("the buffer must hold at least one record")
-    arrived = F.array_sort(F.collect_list(F.struct("offset", "key", "value", "ts")))
-    kind = "struct<offset: long, key: string, value: string, ts: long>"
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("held"), F.array().cast(f"array<{kind}>").alias("sent"))
-
-    def step(acc: Column, x: Column) -> Column:
-        row = x.cast(kind)
-        known = F.exists(acc["held"], lambda h: h["key"] == row["key"])
-        held = F.when(known, F.transform(acc["held"], lambda h: F.when(h["key"] == row["key"], row).otherwise(h))).otherwise(F.array_append(acc["held"], row))
-        full = F.size(held) > most
-        return F.struct(F.when(full, F.slice(held, 2, most)).otherwise(held).alias("held"), F.when(full, F.array_append(acc["sent"], F.get(held, F.lit(0)))).otherwise(acc["sent"]).alias("sent"))
-
-    return updates.agg(F.aggregate(arrived, zero, step, lambda a: a["sent"]).alias("s")).select(F.explode("s").alias("s")).select("s.key", "s.value", "s.ts", "s.offset")
+    """A buffer of at most `most` keys that sends the oldest early when full, over a stream of updates."""
+    return suppressed(updates, 2**61, Buffer(most)).select("key", "value", "ts", "offset")

@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 PRELUDE = """WITH e AS (SELECT user_id AS key, event_type AS value, CAST(round(value * 100) AS BIGINT) AS cents, epoch_us(ts) // 1000 AS ts,
   event_id AS "offset", CAST(user_id % 4 AS INTEGER) AS partition, props, 'events-' || event_type AS topic FROM events),
 n AS (SELECT * REPLACE (CASE WHEN "offset" % 17 = 0 THEN NULL ELSE key END AS key, CASE WHEN "offset" % 13 = 0 THEN NULL ELSE value END AS value) FROM e),
-a AS (SELECT * REPLACE (("offset" * 7919) % 1000003 AS "offset") FROM e)
+a AS (SELECT * REPLACE ("offset" // 1000003 * 1000003 + "offset" % 1000003 * 7919 % 1000003 AS "offset") FROM e)
 """
 
 

@@ -91,6 +91,20 @@ class NotUpToBound(RuntimeError):
     """The store has not read as far as the request wants."""
 
 
+@dataclass(frozen=True)
+class Result:
+    """What a partition, or with partition None a global store, answers: rows, or the reason why not."""
+
+    partition: int | None
+    rows: DataFrame | None = None
+    failure: str | None = None
+    position: Position = field(default_factory=Position)
+
+
+#: Reasons of failures.
+UNKNOWN_QUERY, NOT_PRESENT, NOT_UP_TO_BOUND, DOES_NOT_EXIST = "UNKNOWN_QUERY_TYPE", "NOT_PRESENT", "NOT_UP_TO_BOUND", "DOES_NOT_EXIST"
+
+
 class Stores:
     def __init__(self) -> None:
         self._frames: dict[str, tuple[DataFrame, Position]] = {}
@@ -118,6 +132,43 @@ class Stores:
         return compiled(df, request.query)
 
 
+    def results(self, request: Request) -> list[Result]:
+        """One result for each partition asked for, with a reason for each that can't answer; else one for the whole store."""
+        if request.store not in self._frames:
+            return [Result(p, failure=NOT_PRESENT) for p in request.partitions or (None,)]
+        df, position = self._frames[request.store]
+        out = []
+        for p in request.partitions or (None,):
+            bound = Position({t: {q: o for q, o in parts.items() if p is None or q == p} for t, parts in request.bound.items()})
+            try:
+                if p is not None and "partition" not in df.columns:
+                    out.append(Result(p, failure=DOES_NOT_EXIST, position=position))
+                elif not position.reached(bound):
+                    out.append(Result(p, failure=NOT_UP_TO_BOUND, position=position))
+                else:
+                    out.append(Result(p, compiled(df if p is None else df.where(F.col("partition") == p), request.query), position=position))
+            except TypeError:
+                out.append(Result(p, failure=UNKNOWN_QUERY, position=position))
+        return out
+
+    def composite(self, names: list[str]) -> DataFrame:
+        """Several stores' rows as one read-only store."""
+        out = self.frame(names[0])
+        for n in names[1:]:
+            out = out.unionByName(self.frame(n), allowMissingColumns=True)
+        return out
+
+    def put(self, name: str, updates: DataFrame) -> DataFrame:
+        """The store after puts in order of offset; null deletes."""
+        return self.add(name, tables.put(self.frame(name), updates), self._frames[name][1])
+
+    def put_if_absent(self, name: str, updates: DataFrame) -> DataFrame:
+        return self.add(name, tables.put_if_absent(self.frame(name), updates), self._frames[name][1])
+
+    def delete(self, name: str, keys: DataFrame) -> DataFrame:
+        return self.add(name, tables.delete(self.frame(name), keys), self._frames[name][1])
+
+
 def compiled(df: DataFrame, q: object) -> DataFrame:
     key = F.col("key")
     if isinstance(q, KeyQuery):

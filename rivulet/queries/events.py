@@ -10,7 +10,7 @@ from rivulet.functions import transforms as smt
 from rivulet.operators import aggregate, joins, tables, windows
 from rivulet.plans import dsl, stores
 from rivulet.plans.registry import query
-from rivulet.queries.inputs import DAY, FIRST, HOUR, ORDERS, customers, disordered, events, orders_log, records, with_nulls
+from rivulet.queries.inputs import DAY, FIRST, HOUR, ORDERS, customers, disordered, events, orders_log, records, with_nulls, with_nulls_key
 from rivulet.record import table
 
 MINUTE = 60_000
@@ -129,9 +129,12 @@ TWO = """c AS (SELECT * FROM e WHERE value = 'click'), p AS (SELECT * FROM e WHE
 
 
 def _two(spark, d, nulls=False):
-    e = with_nulls(spark, d) if nulls else events(spark, d)
-    side = lambda v, q: e.where(F.col("offset") % 5 == q).select("key", F.col("offset").cast("string").alias("value"), "ts", "offset") if nulls else e.where(F.col("value") == v).select("key", F.col("offset").cast("string").alias("value"), "ts", "offset")
-    return side("click", 1), side("purchase", 2)
+    """The streams of clicks and of purchases, whole; with nulls some of their keys are unknown."""
+    e = events(spark, d)
+    if nulls:
+        e = e.withColumn("key", with_nulls_key())
+    side = lambda v: e.where(F.col("value") == v).select("key", F.col("offset").cast("string").alias("value"), "ts", "offset")
+    return side("click"), side("purchase")
 
 
 def _pair():
@@ -144,7 +147,7 @@ def ss_inner(spark, d):
     return joins.stream_stream(left, right, joins.JoinWindows.of("2 hours"), _pair())
 
 
-NULLED = """l AS (SELECT * FROM n WHERE "offset" % 5 = 1), r AS (SELECT * FROM n WHERE "offset" % 5 = 2)"""
+NULLED = """l AS (SELECT * FROM n WHERE topic = 'events-click'), r AS (SELECT * FROM n WHERE topic = 'events-purchase')"""
 
 
 @query(f"""WITH {NULLED} SELECT l.key, l."offset" || '|' || coalesce(CAST(r."offset" AS VARCHAR), 'null') AS value, greatest(l.ts, coalesce(r.ts, l.ts)) AS ts FROM l LEFT JOIN r ON l.key = r.key AND r.ts BETWEEN l.ts - {HOUR} AND l.ts + {HOUR}""")
@@ -176,9 +179,9 @@ def st_inner(spark, d):
     return joins.stream_table(with_nulls(spark, d), customers(spark, d), F.concat_ws("@", "value", "table_value")).select("key", "value", "offset")
 
 
-@query('SELECT key, value || \'@\' || coalesce(c_mktsegment, \'none\') AS value, "offset" FROM n LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = key WHERE value IS NOT NULL')
+@query('SELECT key, value || \'@\' || coalesce(c_mktsegment, \'none\') AS value, "offset" FROM n LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = \'BUILDING\') ON c_custkey = key WHERE value IS NOT NULL')
 def st_left(spark, d):
-    return joins.stream_table(with_nulls(spark, d), customers(spark, d).where("key % 3 = 0"), F.concat_ws("@", "value", F.coalesce("table_value", F.lit("none"))), "left").select("key", "value", "offset")
+    return joins.stream_table(with_nulls(spark, d), customers(spark, d).where("value = 'BUILDING'"), F.concat_ws("@", "value", F.coalesce("table_value", F.lit("none"))), "left").select("key", "value", "offset")
 
 
 @query("""WITH v AS (SELECT * FROM e WHERE value = 'purchase'), s AS (SELECT * FROM e WHERE value = 'click')
@@ -210,11 +213,12 @@ def global_left(spark, d):
     return joins.stream_global(with_nulls(spark, d), n, F.col("key") % 30, F.concat_ws(">", "value", F.coalesce("table_value", F.lit("none"))), "left").select("key", "value", "offset")
 
 
-TABLES = ORDERS + """, x AS (SELECT * FROM latest WHERE key % 3 <> 0), y AS (SELECT c_custkey AS key, c_mktsegment AS value, 0 AS ts FROM customer WHERE c_custkey % 2 = 0)"""
+TABLES = ORDERS + """, x AS (SELECT * FROM latest), y AS (SELECT c_custkey AS key, c_mktsegment AS value, 0 AS ts FROM customer WHERE c_mktsegment <> 'BUILDING')"""
 
 
 def _tables(spark, d):
-    return tables.latest(orders_log(spark, d)).where("key % 3 <> 0"), customers(spark, d).where("key % 2 = 0")
+    """Customers' last orders, and the customers outside one segment: either has keys that the other lacks."""
+    return tables.latest(orders_log(spark, d)), customers(spark, d).where("value <> 'BUILDING'")
 
 
 @query(f"WITH {TABLES} SELECT x.key, x.value || '|' || y.value AS value, greatest(x.ts, y.ts) AS ts FROM x JOIN y ON x.key = y.key")
@@ -237,10 +241,11 @@ def fk_inner(spark, d):
     return joins.foreign_key(*_lines(spark, d), F.col("part"), F.concat_ws("|", "value", "right_value"))
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity || '|' || coalesce(p_brand, 'none') AS value FROM (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1) LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = l_partkey AND l_partkey % 7 <> 0", prelude=False)
+@query("SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity || '|' || coalesce(p_brand, 'none') AS value FROM (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1) LEFT JOIN (SELECT * FROM part WHERE p_brand <> 'Brand#13') ON p_partkey = l_partkey AND l_quantity < 45", prelude=False)
 def fk_left(spark, d):
     left, right = _lines(spark, d)
-    return joins.foreign_key(left, right.where("key % 5 <> 0"), F.when(F.col("part") % 7 != 0, F.col("part")), F.concat_ws("|", "value", F.coalesce("right_value", F.lit("none"))), "left")
+    """Large lines name no part, and parts of one brand are unknown."""
+    return joins.foreign_key(left, right.where("value <> 'Brand#13'"), F.when(F.col("value").cast("double") < 45, F.col("part")), F.concat_ws("|", "value", F.coalesce("right_value", F.lit("none"))), "left")
 
 
 def _lines(spark, d):
@@ -398,11 +403,11 @@ def smt_timestamp_router(spark, d):
 
 @query(f"WITH {REC} SELECT \"offset\", strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S') AS text, ts % {DAY} AS time_of_day, ts // 1000 * 1000 AS back FROM r WHERE alive")
 def smt_timestamp_convert(spark, d):
-    r = records(spark, d).where("value IS NOT NULL").withColumn("value", F.col("ts"))
-    text = smt.timestamp_convert("string")(r).select("offset", F.col("value").alias("text"))
-    time = smt.timestamp_convert("Time")(r).select(F.col("offset").alias("o1"), F.col("value").cast("long").alias("time_of_day"))
-    back = smt.timestamp_convert("unix")(smt.timestamp_convert("string")(r)).select(F.col("offset").alias("o2"), F.col("value").alias("back"))
-    return text.join(time, F.col("offset") == F.col("o1")).join(back, F.col("offset") == F.col("o2")).select("offset", "text", "time_of_day", "back")
+    """The time as text, as time of day, and as the number that the text stands for, field by field in one pass."""
+    ts = F.col("ts")
+    r = records(spark, d).where("value IS NOT NULL").withColumn("value", F.struct(ts.alias("text"), ts.alias("time_of_day"), ts.alias("back")))
+    out = smt.chain(r, smt.timestamp_convert("string", "text"), smt.timestamp_convert("Time", "time_of_day"), smt.timestamp_convert("string", "back"), smt.timestamp_convert("unix", "back"))
+    return out.select("offset", "value.text", F.col("value.time_of_day").cast("long").alias("time_of_day"), "value.back")
 
 
 @query(f'WITH {REC} SELECT event_type, cents, count(*) AS n FROM r WHERE alive GROUP BY ALL')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.record import HEADERS, header, millis, table
@@ -25,12 +25,22 @@ def events(spark, d: str) -> DataFrame:
     )
 
 
+def with_nulls_key() -> Column:
+    return F.when(F.col("offset") % 17 != 0, F.col("key"))
+
+
 def with_nulls(spark, d: str) -> DataFrame:
-    return events(spark, d).withColumns({"key": F.when(F.col("offset") % 17 != 0, F.col("key")), "value": F.when(F.col("offset") % 13 != 0, F.col("value"))})
+    return events(spark, d).withColumns({"key": with_nulls_key(), "value": F.when(F.col("offset") % 13 != 0, F.col("value"))})
+
+
+#: Records that arrive out of order among each other; a prime, so that offsets stay different.
+MIXED = 1_000_003
 
 
 def disordered(spark, d: str) -> DataFrame:
-    return events(spark, d).withColumn("offset", (F.col("offset") * 7919) % 1_000_003)
+    """The events out of order within runs of MIXED records, at any number of them."""
+    at = F.col("offset")
+    return events(spark, d).withColumn("offset", F.floor(at / F.lit(MIXED)) * MIXED + at % MIXED * 7919 % MIXED)
 
 
 def records(spark, d: str) -> DataFrame:

@@ -10,14 +10,18 @@ from rivulet.queries.inputs import DAY, HOUR, events
 from rivulet.streaming import processors, run
 
 
-def _stream(spark, d, files: int = 4):
-    """The events written as a few files in order of time, read one file a batch."""
+def _stored(e, parts: int = 4, files: int = 4) -> str:
+    """The records in order of their offset, a few parts written one after another, each in some files: a file source reads the oldest first."""
+    path, most = run.scratch(e.sparkSession, "events"), e.agg(F.max("offset")).first()[0] + 1
+    for i in range(parts):
+        part = e.where((F.col("offset") >= most * i // parts) & (F.col("offset") < most * (i + 1) // parts))
+        part.repartition(files, "key").write.mode("append").parquet(path)
+    return path
+
+
+def _stream(spark, d, parts: int = 4, files: int = 4):
     e = events(spark, d).select("key", "value", "cents", "ts", "offset")
-    path, most = run.scratch(spark, "events"), e.agg(F.max("offset")).first()[0] + 1
-    for i in range(files):  # one after another: a file source reads the oldest first
-        part = e.where((F.col("offset") >= most * i // files) & (F.col("offset") < most * (i + 1) // files))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return run.read(spark, path, e.schema, 1)
+    return run.read(spark, _stored(e, parts, files), e.schema, files)
 
 
 @query(f"SELECT key, ts // {DAY} * {DAY} AS window_start, ts // {DAY} * {DAY} + {DAY} AS window_end, count(*) AS count FROM e GROUP BY ALL")
@@ -33,15 +37,15 @@ def stream_totals(spark, d):
 
 @query('SELECT key, value AS new_value, lag(value) OVER (PARTITION BY key ORDER BY "offset") AS old_value, "offset" FROM e')
 def stream_table_changes(spark, d):
-    run.use_rocksdb(spark)
-    return run.collect(processors.table_changes(_stream(spark, d, 2)), "update")
+    with run.rocksdb(spark):
+        return run.collect(processors.table_changes(_stream(spark, d, 2)), "update")
 
 
 @query(f"""WITH s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, "offset") AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, "offset") > {6 * HOUR} THEN 1 ELSE 0 END AS new FROM e))
 SELECT key, min(ts) AS window_start, max(ts) AS window_end, count(*) AS count FROM s GROUP BY key, sid""")
 def stream_session_updates(spark, d):
     """All updates of the stream, then the last one of each session that was not merged into a larger one."""
-    run.use_rocksdb(spark)
-    sent = run.collect(processors.session_updates(_stream(spark, d, 2), 6 * HOUR), "update")
+    with run.rocksdb(spark):
+        sent = run.collect(processors.session_updates(_stream(spark, d, 2), 6 * HOUR), "update")
     last = sent.groupBy("key", "window_start", "window_end").agg(F.max("count").alias("count"), F.max(F.col("count").isNull()).alias("gone"))
     return last.where("NOT gone").drop("gone")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
 
@@ -47,6 +47,64 @@ def exactly_once(path: str, transform: Callable[[DataFrame], DataFrame] | None =
     return write
 
 
+def lines_of(data: bytes, position: int, last: bool = False) -> tuple[list[tuple[int, str]], int]:
+    """([(position after the line, line)], position): whole lines of a file's bytes from a position on.
+
+    Lines end by \\n, \\r or \\r\\n. A last line without an end is held back, and so is one that ends by \\r if more may
+    come, since a \\n may follow; with `last` nothing is held back.
+    """
+    out, at = [], 0
+    while at < len(data):
+        ends = [i for i in (data.find(b"\n", at), data.find(b"\r", at)) if i >= 0]
+        if not ends or data[min(ends)] == 13 and min(ends) + 1 == len(data) and not last:
+            break
+        end = min(ends)
+        after = end + (2 if data[end : end + 2] == b"\r\n" else 1)
+        out.append((position + after, data[at:end].decode("utf-8", "replace")))
+        at = after
+    if last and at < len(data):
+        out.append((position + len(data), data[at:].decode("utf-8", "replace")))
+        at = len(data)
+    return out, position + at
+
+
+class _Tail(SimpleDataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.path, self.most = options["path"], int(options.get("bytes", 1 << 20))
+
+    def initialOffset(self) -> dict:
+        return {"position": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        with open(self.path, "rb") as f:
+            f.seek(start["position"])
+            data = f.read(self.most)
+            while len(data) % self.most == 0 and data and not {10, 13} & {*data} and (more := f.read(self.most)):
+                data += more  # one line longer than a read
+        found, position = lines_of(data, start["position"])
+        return ((self.path, p, line) for p, line in found), {"position": position}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        with open(self.path, "rb") as f:
+            f.seek(start["position"])
+            data = f.read(end["position"] - start["position"])
+        return iter([(self.path, p, line) for p, line in lines_of(data, start["position"], True)[0]])
+
+
+class TailSource(DataSource):
+    """A file's lines as they are appended: path, position (the offset to go on from), value. The file is the driver's."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tail"
+
+    def schema(self) -> str:
+        return "path string, position long, value string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Tail(self.options)
+
+
 class _Range(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.functions import timestamps
+
 
 @dataclass(frozen=True)
 class Consumed:
-    """Reader options: event-time extractor (a column of the record), where to start, a name."""
+    """Reader options: event-time extractor (a column of the record), decoders of key and value, where to start, a name."""
 
     timestamp: Column | None = None
+    key: Callable[[Column], Column] | None = None
+    value: Callable[[Column], Column] | None = None
     reset: str = "earliest"
     since: int | None = None
     name: str | None = None
 
+    def read(self, log: DataFrame) -> DataFrame:
+        """The log as these options read it; invalid times are an error."""
+        out = reset(log, self.reset, self.since)
+        if self.timestamp is not None:
+            out = timestamps.fail_on_invalid(out, self.timestamp)
+        for name, decode in (("key", self.key), ("value", self.value)):
+            out = out.withColumn(name, decode(F.col(name))) if decode else out
+        return out.alias(self.name) if self.name else out
+
 
 def subscribe(log: DataFrame, topics: str | Sequence[str] | None = None, pattern: str | None = None) -> DataFrame:
     """Records of one topic, several topics, or all topics that a regular expression matches as a whole."""
@@ -94,9 +107,44 @@ def read_committed(log: DataFrame, aborted: DataFrame, transaction: str = "trans
     return log.join(aborted.select(transaction).distinct(), transaction, "left_anti")
 
 
+#: The seed and the multiplier of the 32-bit hash that places keys.
+HASH_SEED, HASH_TIMES = 0x9747B28C, 0x5BD1E995
+
+
+def murmur2(data: Column) -> Column:
+    """The 32-bit Murmur2 hash of bytes, as a number from 0 to 2^32 - 1."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    times = lambda x: low(low(x) * F.lit(HASH_TIMES))
+    mixed = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
+    n, digits = F.octet_length(data), F.hex(data)
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    whole = F.floor(n / F.lit(4)).cast("int")
+
+    def word(i: Column) -> Column:
+        return byte(4 * i) + byte(4 * i + 1) * 256 + byte(4 * i + 2) * 65536 + byte(4 * i + 3) * 16777216
+
+    start = F.lit(HASH_SEED).bitwiseXOR(n.cast("long"))
+    words = F.filter(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: i < whole)
+    h = F.aggregate(words, start, lambda h, i: times(h).bitwiseXOR(times(mixed(times(word(i)), 24))))
+    rest = n - 4 * whole
+    tail = F.when(rest > 2, byte(4 * whole + 2) * 65536).otherwise(F.lit(0)) + F.when(rest > 1, byte(4 * whole + 1) * 256).otherwise(F.lit(0)) + F.when(rest > 0, byte(4 * whole)).otherwise(F.lit(0))
+    h = F.when(rest > 0, times(h.bitwiseXOR(tail))).otherwise(h)
+    return mixed(times(mixed(h, 13)), 15)
+
+
 def partition_of(key: Column, partitions: int) -> Column:
-    """The default partitioner: a hash of the key; null keys by offset are left to the caller."""
-    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+    """The default partitioner: a hash of the serialised key's bytes; null keys are left to the caller."""
+    return (murmur2(key).bitwiseAND(F.lit(0x7FFFFFFF)) % partitions).cast("int")
+
+
+def windowed_partition_of(key: Column, partitions: int) -> Column:
+    """The partitioner of windowed keys: all windows of an inner key (before the last eight bytes) go where the key goes."""
+    return partition_of(F.substring(key, F.lit(1), F.octet_length(key) - 8), partitions)
+
+
+def round_robin(df: DataFrame, partitions: int) -> DataFrame:
+    """Records dealt out in turn by their arrival, whatever their keys."""
+    return df.withColumn("partition", (F.pmod(F.col("offset"), F.lit(partitions))).cast("int"))
 
 
 def multicast(df: DataFrame, partitions: Column) -> DataFrame:
@@ -158,9 +206,17 @@ def parse_lines(lines: DataFrame, headers: bool = True, key: bool = True, separa
     return p.select((pairs if headers else empty).alias("headers"), (text(F.get("p", F.lit(int(headers)))) if key else F.lit(None).cast("string")).alias("key"), text(F.get("p", F.lit(n - 1))).alias("value"))
 
 
-def console_lines(log: DataFrame, timestamp: bool = True, partition: bool = False, offset: bool = False, headers: bool = False, key: bool = True, separator: str = "\t", null: str = "null") -> DataFrame:
-    """line: the printed form of each record."""
-    parts = []
+def console_lines(log: DataFrame, timestamp: bool = True, partition: bool = False, offset: bool = False, headers: bool = False, key: bool = True, separator: str = "\t", null: str = "null", formatter: str = "default", most: int | None = None) -> DataFrame:
+    """line: the printed form of each record. The first `most` records by offset are printed, by default all.
+
+    formatter: `default`; `logging`, which names the topic before the line; `noop`, which prints nothing.
+    """
+    if formatter not in ("default", "logging", "noop"):
+        raise ValueError(f"unknown formatter: {formatter}")
+    log = log.orderBy("offset").limit(most) if most is not None else log
+    if formatter == "noop":
+        return log.select(F.lit("").alias("line")).where(F.lit(False))
+    parts = [F.concat(F.col("topic"), F.lit(":"))] if formatter == "logging" else []
     if timestamp:
         parts.append(F.concat(F.lit("CreateTime:"), F.col("ts").cast("string")))
     if partition:

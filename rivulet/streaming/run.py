@@ -6,28 +6,61 @@ a stream may accept a record that a record-at-a-time operator would drop, never
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rivulet.operators.joins import JoinWindows
 from rivulet.operators.windows import SessionWindows, TimeWindows
 from rivulet.record import importable
+from rivulet.sources import files
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    return f"{root}/rivulet-streams/{name}-{uuid.uuid4().hex}"
+    """A new folder under the folder that driver and executors share; only local mode may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{root or tempfile.gettempdir() + '/checkpoints'}/rivulet-streams/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
-def use_rocksdb(spark: SparkSession) -> None:
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_made() -> None:
+    for spark, path in _made:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended; the folder's owner then clears it
+            return
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's setting is put back after."""
     importable(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -62,13 +95,26 @@ def joined(left: DataFrame, right: DataFrame, w: JoinWindows, value: Column, how
     return out.select(F.coalesce("key", "__r_key").alias("key"), value.alias("value"), F.greatest("ts", "__r_ts").alias("ts"))
 
 
-def collect(df: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns what the sink got; results are kept in memory, for tests and small states."""
+def collect(df: DataFrame, mode: str = "append", checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns what its sink holds: Parquet in the shared folder, a folder a batch.
+
+    A repeated batch replaces its own folder, so each takes effect once. In `complete` mode the last batch is the result.
+    With a checkpoint and path of an earlier run, the stream goes on from there.
+    """
     spark = df.sparkSession
-    name = name or f"sink_{uuid.uuid4().hex}"
-    started = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+    path, checkpoint = path or scratch(spark, "sink"), checkpoint or scratch(spark, "checkpoint")
+    to_batches(df, files.exactly_once(path), checkpoint, mode)
+    return written(spark, path, df.schema, mode)
+
+
+def written(spark: SparkSession, path: str, schema, mode: str = "append") -> DataFrame:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    out = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])  # a number of a folder, not of rows
+    return out.drop("batch")
 
 
 def to_batches(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:

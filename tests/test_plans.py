@@ -53,13 +53,14 @@ def test_append_sends_closed_windows_only(spark, tmp_path):
 
 
 def test_held_updates_and_punctuation(spark, tmp_path):
-    run.use_rocksdb(spark)
     rows = [[(1, "a", 1000, 1), (1, "b", 1005, 2)], [(2, "x", 1100, 3)], [(2, "y", 1105, 4)], [(3, "z", 2000, 5)]]
     s = run.with_time(stream_of(spark, tmp_path, rows), 0)
-    out = run.collect(processors.held_updates(s, 50)).collect()
+    with run.rocksdb(spark):
+        out = run.collect(processors.held_updates(s, 50)).collect()
     assert {(r.key, r.value) for r in out} >= {(1, "b"), (2, "y")}
     t = run.with_time(stream_of(spark, tmp_path / "p", rows), 0)
-    ticks = run.collect(processors.punctuated_counts(t, 40)).collect()
+    with run.rocksdb(spark):
+        ticks = run.collect(processors.punctuated_counts(t, 40)).collect()
     assert any(r.key == 1 and r["count"] == 2 for r in ticks)
 
 
