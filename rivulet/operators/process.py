@@ -191,7 +191,10 @@ class _Streamed(StatefulProcessor):
 
 
 def process_stream(df: DataFrame, make: Callable[[], Processor], value: str = "string", key: str | None = None, wall_clock: bool = False) -> DataFrame:
-    """The same over a streaming frame. State must be values that JSON can hold."""
+    """The same over a streaming frame. State must be values that JSON can hold.
+
+    With wall_clock, wall-clock timers fire without records too; such a stream runs until it is stopped.
+    """
     kind = key or df.schema["key"].dataType.simpleString()
     grouped = df.where(F.col("key").isNotNull()).groupBy("key")
     return grouped.transformWithState(_Streamed(make, df.columns), f"key {kind}, value {value}, ts long, child string", "Update", "ProcessingTime" if wall_clock else "None")

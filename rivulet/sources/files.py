@@ -82,7 +82,7 @@ class _Tail(SimpleDataSourceStreamReader):
             while len(data) % self.most == 0 and data and not {10, 13} & {*data} and (more := f.read(self.most)):
                 data += more  # one line longer than a read
         found, position = lines_of(data, start["position"])
-        return ((self.path, p, line) for p, line in found), {"position": position}
+        return iter([(self.path, p, line) for p, line in found]), {"position": position}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         with open(self.path, "rb") as f:
