@@ -91,7 +91,8 @@ def joined(left: DataFrame, right: DataFrame, w: JoinWindows, value: Column, how
     r = with_time(right, w.grace).withColumnsRenamed({c: f"__r_{c}" for c in [*right.columns, "event_time"]})
     within = (F.col("__r_event_time") >= F.col("event_time") - F.expr(f"INTERVAL {w.before} MILLISECONDS")) & (F.col("__r_event_time") <= F.col("event_time") + F.expr(f"INTERVAL {w.after} MILLISECONDS"))
     kinds = {"inner": "inner", "left": "leftOuter", "outer": "fullOuter"}
-    out = l.join(r, (F.col("key") == F.col("__r_key")) & within, kinds[how]).withColumn("right_value", F.col("__r_value"))
+    # a full outer join of streams would pair null keys by itself
+    out = l.join(r, (F.col("key") == F.col("__r_key")) & F.col("key").isNotNull() & within, kinds[how]).withColumn("right_value", F.col("__r_value"))
     return out.select(F.coalesce("key", "__r_key").alias("key"), value.alias("value"), F.greatest("ts", "__r_ts").alias("ts"))
 
 
