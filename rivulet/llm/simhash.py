@@ -5,6 +5,9 @@
 positions whose vector has an odd inner product with v. Any `radius` positions span at most `radius` of the radius+1
 dimensions, so some v is orthogonal to all positions in which a pair differs, and the pair agrees under that mask:
 no pair within the radius is missed.
+
+A crowded bucket is split by a second family of such masks, and what is crowded still by a third: a pair within the radius
+agrees under some mask of each family, so it meets again in a part of the bucket.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import ascii_lower_py, bounded_batches, components, durable
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Buckets with more fingerprints than this are dealt out as pairs of blocks of about this size.
-BLOCK = 2048
+#: Buckets with more fingerprints than this are split by the next family of masks, in the last one dealt out as pairs of blocks of about this size.
+BLOCK, FAMILIES = 2048, 3
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -58,10 +61,11 @@ def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """The covering masks as signed longs."""
+def masks(radius: int = RADIUS, bits: int = 64, family: int = 0) -> list[int]:
+    """The covering masks as signed longs. Families deal the vectors to the bits in other orders."""
     dims = radius + 1
-    vectors = [1 + i % ((1 << dims) - 1) for i in range(bits)]
+    order = np.random.default_rng(family).permutation(bits) if family else range(bits)
+    vectors = [1 + int(i) % ((1 << dims) - 1) for i in order]
     out = []
     for v in range(1, 1 << dims):
         m = sum(1 << i for i in range(bits) if bin(vectors[i] & v).count("1") % 2)
@@ -91,24 +95,39 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([none, *froms]), np.concatenate([none, *tos])
 
 
-def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fps.fp that connect exactly what the links within the radius connect.
-
-    Buckets up to `block` are compared in one piece; larger ones as pairs of blocks, so that no task gathers more than
-    two blocks of a bucket at once.
-    """
-    tables = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)))).alias("t", "k")
-    keys = fps.select("fp", tables)
-    full = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _cells(keys: DataFrame, full: DataFrame, block: int) -> DataFrame:
+    """fp, t, k, i, j: the fingerprints of each bucket of full, those of one over `block` dealt out as pairs of blocks."""
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
-    cells = (
+    return (
         keys.join(full, ["t", "k"])
         .select("fp", "t", "k", parts.alias("s"))
         .select("fp", "t", "k", own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
         .select("fp", "t", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     )
 
+
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, families: int = FAMILIES) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fps.fp that connect exactly what the links within the radius connect.
+
+    Buckets up to `block` are compared in one piece. A larger one is split by the masks of the next family, each of its
+    fingerprints going into as many parts as a family has masks; after the last family, by pairs of blocks, so that no
+    task gathers more than two blocks of a bucket at once.
+    """
+    keys, cells = fps.select("fp", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("k")), None
+    for family in range(families):
+        own = masks(radius, family=family)
+        parts = F.posexplode(F.array(*(F.col("k").bitwiseOR(F.col("fp").bitwiseAND(F.lit(m))) for m in own))).alias("p", "__k")
+        keys = keys.select("fp", "t", "k", parts).select("fp", (F.col("t") * len(own) + F.col("p")).alias("t"), F.col("__k").alias("k"))
+        full = durable(keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        crowded = full.where(F.col("n") > block)
+        last = family == families - 1 or crowded.isEmpty()
+        part = _cells(keys, full if last else full.where(F.col("n") <= block), block)
+        cells = part if cells is None else cells.unionByName(part)
+        if last:
+            break
+        keys = durable(keys.join(crowded.select("t", "k"), ["t", "k"]).select("fp", "t", "k"), "crowded")
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for x in batches:

@@ -40,12 +40,13 @@ def brute(fps):
 
 
 def test_masks_cover_every_pair():
-    ms = [m % 2**64 for m in simhash.masks()]
-    assert len(ms) == 15
     r = random.Random(1)
-    for _ in range(3000):
-        diff = sum(1 << i for i in r.sample(range(64), r.randint(1, 3)))
-        assert any(diff & m == 0 for m in ms)
+    for family in range(simhash.FAMILIES):
+        ms = [m % 2**64 for m in simhash.masks(family=family)]
+        assert len(ms) == 15
+        for _ in range(3000):
+            diff = sum(1 << i for i in r.sample(range(64), r.randint(1, 3)))
+            assert any(diff & m == 0 for m in ms)
 
 
 @pytest.mark.parametrize("text", ["", None, " \t\n", "one", "ONE two", "a b c", "A b  c\td É x", "x " * 5000])
@@ -76,6 +77,28 @@ def test_dense_groups_in_blocks(spark, block):
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def test_a_crowded_bucket_is_split(spark):
+    """5,000 fingerprints that agree under one mask: over the default block in its bucket."""
+    r = random.Random(11)
+    free = [i for i in range(64) if not simhash.masks()[0] >> i & 1]
+    base = [sum(1 << i for i in free if r.random() < 0.5) for _ in range(4600)]
+    fps = {*base, *(b ^ 1 << r.choice(free) for b in base[:400])}
+    masked = {}
+    for f in fps:
+        for t, m in enumerate(simhash.masks()):
+            masked.setdefault((t, f & m % 2**64), set()).add(f)
+    assert max(map(len, masked.values())) > simhash.BLOCK
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    edges = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    got = {x.node: x.root for x in components(edges, "a", "b").collect()}
+    arr = np.array(signed, dtype=np.int64)
+    root = {f: f for f in signed}
+    a, b = simhash.linked(np.sort(arr))  # all in one piece
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):  # breadth-first: x has its root already
+        root[y] = root[x]
+    assert {f: got.get(f, f) for f in signed} == root
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(r.randrange(5000, 5400), r.randrange(5000, 5400)) for _ in range(200)]
