@@ -120,6 +120,8 @@ def read_back(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 
     Every record is rebuilt and parsed. Digests are computed anew from the stored bytes and must equal those in the
     headers, and so must lengths; a mismatch is an error. A revisit holds no payload: the one it stands for is compared.
+    Repeated rows are read each. Empty tables give an empty result. Very long payloads are read whole, and columns beside
+    those of an archive take no part.
     """
     schema = "page_id long, sha256 string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     responses = restore(headers.where("NOT revisit"), payloads).mapInPandas(_parsed, schema)
@@ -127,7 +129,8 @@ def read_back(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     found = payloads.select("sha256", F.octet_length("payload").cast("long").alias("stored_bytes"), base32_of_hex(F.sha1("payload")).alias("stored"), F.sha2("payload", 256).alias("again"))
     right = (F.col("stored") == F.col("payload_digest")) & (F.col("again") == F.col("sha256"))
     digest = F.when(right, F.col("stored")).otherwise(F.raise_error(F.lit("a stored payload has another digest than its record")))
-    size = F.when(F.col("stored_bytes") == F.col("payload_bytes"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record has another Content-Length than its bytes")))
+    absent = F.raise_error(F.lit("a record has no stored payload"))
+    size = F.when(F.col("stored_bytes").isNull(), absent).when(F.col("stored_bytes") == F.col("payload_bytes"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record has another Content-Length than its bytes")))
     revisits = revisits.join(found, "sha256", "left").select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
     return responses.select(*revisits.columns).unionByName(revisits)
 
