@@ -1,9 +1,10 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, for the pipeline's stage.
 
-Bands of min-hashes only propose: texts that agree in a band are candidates, and the texts of each component of
-candidates are compared by their exact shingle sets. A pair at similarity s shares no band with probability
-(1 - s^ROWS)^BANDS: about one in eight million at 0.8. A 64-bit SimHash can't do this, as a pair at 0.8 differs in about
-10 bits and the covering masks for a radius of 10 are 2,047.
+SimHash proposes first: texts whose fingerprints (votes over their distinct shingles) differ in at most RADIUS bits, found
+by covering masks on PARTS parts of the fingerprint, which miss none. A pair at 0.8 differs in about 10 bits, more than
+masks can cover, so bands of min-hashes propose the rest: a pair at similarity s shares no band with probability
+(1 - s^ROWS)^BANDS, about one in eight million at 0.8. The texts of each component of candidates are then compared by
+their exact shingle sets, which alone decide.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import ascii_lower_py, bounded_batches, components, durable
-from rivulet.llm.simhash import _SPACE
+from rivulet.llm.simhash import _SPACE, link_fingerprints, voted
 
 #: Words of a shingle; least similarity of a link as a fraction; bands and min-hashes of a band.
 SHINGLE, LEAST, BANDS, ROWS, SEED = 5, (4, 5), 40, 5, 42
+#: Bits in which fingerprints that propose a pair may differ; parts that the masks cover by themselves.
+RADIUS, PARTS = 7, 2
+#: A set with fewer shingles is similar to an equal one only, so its coarse fingerprint proposes equal fingerprints only.
+LEAST_VOTES = 4
 #: Components of candidates with more shingles or texts than this are dealt out as pairs of blocks of about this size.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 4096
 
@@ -54,14 +59,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(text: Column) -> Column:
-    @F.pandas_udf("node long, n long, bands array<long>")
+    @F.pandas_udf("node long, n long, fp long, bands array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             line = normalised(t)
             sh = shingles(line)
-            out.append((int(np.uint64(xxhash.xxh64_intdigest(line, SEED)).view(np.int64)), len(sh), bands(sh)))
-        return pd.DataFrame(out, columns=["node", "n", "bands"])
+            out.append((int(np.uint64(xxhash.xxh64_intdigest(line, SEED)).view(np.int64)), len(sh), voted(sh[at : at + (1 << 16)] for at in range(0, len(sh), 1 << 16)), bands(sh)))
+        return pd.DataFrame(out, columns=["node", "n", "fp", "bands"])
 
     return sketch(text.cast("string"))
 
@@ -157,6 +162,19 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__r1": F.xxhash64(*whole), "__r2": F.xxhash64(F.lit(SEED), *reversed(whole))})
 
 
+def proposals(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes that may be similar. texts: node, n and fp; sketches: node and bands."""
+    fps = durable(texts.groupBy("fp").agg(F.min("node").alias("first"), F.max("n").alias("n")), "fingerprints")
+    near = durable(link_fingerprints(fps.where(F.col("n") >= LEAST_VOTES).select("fp"), RADIUS, parts=PARTS), "near-fingerprints")
+    first = fps.select("fp", "first")
+    close = near.join(first.toDF("a", "u"), "a").join(first.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    equal = texts.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    keys = sketches.select("node", F.posexplode("bands").alias("t", "k"))
+    full = keys.groupBy("t", "k").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").drop("most")
+    banded = keys.join(full, ["t", "k"]).where("node > b").select(F.col("node").alias("a"), "b")
+    return close.unionByName(equal).unionByName(banded)
+
+
 def near_duplicates(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """doc_id, __r1, __r2, node (of the text) and root (of its component) for each row of docs.
 
@@ -166,10 +184,9 @@ def near_duplicates(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, block
     bounded_batches(docs.sparkSession)
     told = identified(docs)
     rows = durable(told.select("doc_id", "__r1", "__r2", _sketched(F.col("text")).alias("s")).select("doc_id", "__r1", "__r2", "s.*"), "sketches")
-    texts = rows.groupBy("node").agg(F.min(F.struct("__r1", "__r2")).alias("r"), F.first("n").alias("n"))
-    keys = rows.join(texts.select("node", "r.*"), ["node", "__r1", "__r2"], "left_semi").select("node", F.posexplode("bands").alias("t", "k"))
-    full = keys.groupBy("t", "k").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").drop("most")
-    candidates = durable(components(keys.join(full, ["t", "k"]).where("node > b").select(F.col("node").alias("a"), "b"), "a", "b"), "candidates")
+    texts = durable(rows.groupBy("node").agg(F.min(F.struct("__r1", "__r2")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")), "texts")
+    once = rows.join(texts.select("node", "r.*"), ["node", "__r1", "__r2"], "left_semi").select("node", "bands")
+    candidates = durable(components(proposals(texts.select("node", "n", "fp"), once), "a", "b"), "candidates")
     sized = durable(texts.join(candidates, "node").select("node", "root", "r.*", "n"), "sized")
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count(F.lit(1)) / block_texts)).cast("int").alias("s"))
     own = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
@@ -181,4 +198,4 @@ def near_duplicates(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, block
         .select("node", "text", "root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     )
     labels = durable(components(_compared(cells), "a", "b"), "components").withColumnRenamed("root", "__root")
-    return rows.drop("n", "bands").join(labels, "node", "left").select("doc_id", "__r1", "__r2", "node", F.coalesce("__root", "node").alias("root"))
+    return rows.drop("n", "fp", "bands").join(labels, "node", "left").select("doc_id", "__r1", "__r2", "node", F.coalesce("__root", "node").alias("root"))

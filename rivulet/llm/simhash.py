@@ -8,12 +8,15 @@ no pair within the radius is missed.
 
 A crowded bucket is split by a second family of such masks, and what is crowded still by a third: a pair within the radius
 agrees under some mask of each family, so it meets again in a part of the bucket.
+
+A wider radius takes masks on parts of the fingerprint: of `parts` parts of a pair within the radius, one differs in at most
+radius // parts bits, so masks for that many on each part miss no pair either, and are far fewer.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,15 @@ BLOCK, FAMILIES = 2048, 3
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def voted(pieces: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit fingerprint of the hashes in all pieces: a bit is 1 if set in over half of them."""
+    n, votes = 0, np.zeros(64, np.int64)
+    for h in pieces:
+        n += len(h)
+        votes += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit fingerprint: a bit is 1 if set in over half of the shingles' XXH64; no word gives 0."""
     line = _SPACE.sub(" ", ascii_lower_py(text or "")).strip(" ").encode("utf-8", "surrogatepass")
@@ -41,12 +53,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts, ends = starts[: 1 - shingle or None], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    n, votes = len(starts), np.zeros(64, np.int64)
     hashed = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        h = np.array([hashed(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+    return voted(np.array([hashed(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8") for at in range(0, len(starts), 1 << 16))
 
 
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
@@ -61,15 +69,16 @@ def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def masks(radius: int = RADIUS, bits: int = 64, family: int = 0) -> list[int]:
-    """The covering masks as signed longs. Families deal the vectors to the bits in other orders."""
-    dims = radius + 1
-    order = np.random.default_rng(family).permutation(bits) if family else range(bits)
-    vectors = [1 + int(i) % ((1 << dims) - 1) for i in order]
+def masks(radius: int = RADIUS, bits: int = 64, family: int = 0, parts: int = 1) -> list[int]:
+    """The covering masks as signed longs. Families deal the vectors, and the parts, to the bits in other orders."""
+    dims = radius // parts + 1
+    order = [int(i) for i in np.random.default_rng(family).permutation(bits)] if family else range(bits)
+    vectors = [1 + i % ((1 << dims) - 1) for i in order]
     out = []
-    for v in range(1, 1 << dims):
-        m = sum(1 << i for i in range(bits) if bin(vectors[i] & v).count("1") % 2)
-        out.append(m - (1 << 64) if m >> 63 else m)
+    for part in range(parts):
+        for v in range(1, 1 << dims):
+            m = sum(1 << i for i in range(bits) if order[i] * parts // bits == part and bin(vectors[i] & v).count("1") % 2)
+            out.append(m - (1 << 64) if m >> 63 else m)
     return out
 
 
@@ -107,7 +116,7 @@ def _cells(keys: DataFrame, full: DataFrame, block: int) -> DataFrame:
     )
 
 
-def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, families: int = FAMILIES) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, families: int = FAMILIES, parts: int = 1) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fps.fp that connect exactly what the links within the radius connect.
 
     Buckets up to `block` are compared in one piece. A larger one is split by the masks of the next family, each of its
@@ -116,9 +125,9 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK,
     """
     keys, cells = fps.select("fp", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("k")), None
     for family in range(families):
-        own = masks(radius, family=family)
-        parts = F.posexplode(F.array(*(F.col("k").bitwiseOR(F.col("fp").bitwiseAND(F.lit(m))) for m in own))).alias("p", "__k")
-        keys = keys.select("fp", "t", "k", parts).select("fp", (F.col("t") * len(own) + F.col("p")).alias("t"), F.col("__k").alias("k"))
+        own = masks(radius, family=family, parts=parts)
+        masked = F.posexplode(F.array(*(F.col("k").bitwiseOR(F.col("fp").bitwiseAND(F.lit(m))) for m in own))).alias("p", "__k")
+        keys = keys.select("fp", "t", "k", masked).select("fp", (F.col("t") * len(own) + F.col("p")).alias("t"), F.col("__k").alias("k"))
         full = durable(keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
         crowded = full.where(F.col("n") > block)
         last = family == families - 1 or crowded.isEmpty()

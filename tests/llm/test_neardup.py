@@ -6,9 +6,11 @@ import re
 import corpus_pipeline as pipeline
 import numpy as np
 import pytest
+import xxhash
 from conftest import DATA
+from pyspark.sql import functions as F
 
-from rivulet.llm import neardup
+from rivulet.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -77,3 +79,33 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, "Abc def"), (None, "ghi jkl"), (None, "mno pqr"), (None, "mno pqr"), (5, "stu vwx"), (5, "other words"), (7, "OTHER  words"), (None, alike), (9, alike), (8, alike + " more")]
     got = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((x.doc_id or 0, x.text) for x in got) == [(0, "Abc def"), (0, "ghi jkl"), (0, "mno pqr"), (5, "other words"), (5, "stu vwx"), (8, alike + " more")]
+
+
+def test_simhash_proposes(spark):
+    """Texts within the radius meet by their fingerprints, whatever their bands; with few shingles only equal ones do."""
+    r = random.Random(5)
+    base = [r.getrandbits(63) for _ in range(40)]
+    fps = {2 * i + k: (b ^ k * sum(1 << at for at in r.sample(range(63), 1 + i % neardup.RADIUS)), 9) for i, b in enumerate(base) for k in (0, 1)}
+    fps |= {100: (0b1, 3), 101: (0b11, 3), 102: (0b11, 3)}
+    texts = spark.createDataFrame([(i, n, fp) for i, (fp, n) in fps.items()], "node long, n long, fp long")
+    bands = spark.createDataFrame([(i, [i]) for i in fps], "node long, bands array<long>")
+    got = {tuple(sorted(e)) for e in neardup.proposals(texts, bands).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(40)} | {(101, 102)}
+
+
+def test_masks_on_parts_cover_every_pair():
+    r = random.Random(1)
+    for family in range(simhash.FAMILIES):
+        ms = [m % 2**64 for m in simhash.masks(neardup.RADIUS, family=family, parts=neardup.PARTS)]
+        assert len(ms) == 30 and all(ms)
+        for _ in range(3000):
+            diff = sum(1 << i for i in r.sample(range(64), r.randint(1, neardup.RADIUS)))
+            assert any(diff & m == 0 for m in ms)
+
+
+def test_sketch_holds_the_fingerprint(spark):
+    text = " ".join(f"Word{i % 70}" for i in range(90))
+    got = spark.createDataFrame([(text,)], "t string").select(neardup._sketched(F.col("t")).alias("s")).first().s
+    hashes = [xxhash.xxh64_intdigest(s, neardup.SEED) for s in shingled(text)]
+    assert got.n == len(hashes)
+    assert got.fp % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
