@@ -10,7 +10,10 @@ A crowded bucket is split by a second family of such masks, and what is crowded
 agrees under some mask of each family, so it meets again in a part of the bucket.
 
 A wider radius takes masks on parts of the fingerprint: of `parts` parts of a pair within the radius, one differs in at most
-radius // parts bits, so masks for that many on each part miss no pair either, and are far fewer.
+radius // parts bits, so masks for that many on each part miss no pair either, and are far fewer. Their keys are short (about
+17 bits for two parts), so that in a large table nearly all fingerprints share buckets by chance. Looking for those that do
+would make rows that grow faster than the table; instead each goes to the comparison once a mask, a row count in proportion,
+and meets at most the fingerprints of a bucket that isn't yet crowded.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from rivulet.llm.common import ascii_lower_py, bounded_batches, components, dura
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Buckets with more fingerprints than this are split by the next family of masks, in the last one dealt out as pairs of blocks of about this size.
 BLOCK, FAMILIES = 2048, 3
+#: Buckets up to this size are searched for links all at once; only fingerprints with a link are then walked.
+SEARCHED = 256
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -128,10 +133,18 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK,
         own = masks(radius, family=family, parts=parts)
         masked = F.posexplode(F.array(*(F.col("k").bitwiseOR(F.col("fp").bitwiseAND(F.lit(m))) for m in own))).alias("p", "__k")
         keys = keys.select("fp", "t", "k", masked).select("fp", (F.col("t") * len(own) + F.col("p")).alias("t"), F.col("__k").alias("k"))
-        full = durable(keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        short = parts > 1 and family == 0
+        full = durable(keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (block if short else 1)), "buckets")
         crowded = full.where(F.col("n") > block)
-        last = family == families - 1 or crowded.isEmpty()
-        part = _cells(keys, full if last else full.where(F.col("n") <= block), block)
+        none = crowded.isEmpty()
+        last = family == families - 1 or none
+        if short:
+            part = keys if none else keys.join(crowded, ["t", "k"], "left_anti")
+            part = part.select("fp", "t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
+            if last and not none:
+                part = part.unionByName(_cells(keys, crowded, block))
+        else:
+            part = _cells(keys, full if last else full.where(F.col("n") <= block), block)
         cells = part if cells is None else cells.unionByName(part)
         if last:
             break
@@ -145,16 +158,29 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK,
             x = x if kept is None else pd.concat([kept, x], ignore_index=True)
             cell, fp = x[["t", "k", "i", "j"]].to_numpy(np.int64), x["fp"].to_numpy(np.int64)
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
-            yield _edges([fp[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], radius)
+            yield _edges(fp[: starts[-1]], starts, radius)
             kept = x.iloc[starts[-1] :]
         if kept is not None:
-            yield _edges([kept["fp"].to_numpy(np.int64)], radius)
+            yield _edges(kept["fp"].to_numpy(np.int64), np.array([0, len(kept)]), radius)
 
     return cells.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp").mapInPandas(walk, "a long, b long")
 
 
-def _edges(groups: list[np.ndarray], radius: int) -> pd.DataFrame:
-    found = [linked(g, radius) for g in groups if len(g) > 1]
+def _edges(fps: np.ndarray, starts: np.ndarray, radius: int) -> pd.DataFrame:
+    """Spanning forests of the links in each bucket; a bucket's place is from one of `starts` to the next."""
+    sizes = np.diff(starts)
+    met = np.repeat(sizes > SEARCHED, sizes)
+    after = np.repeat(starts[1:], sizes) - np.arange(len(fps)) - 1
+    rows = np.flatnonzero((after > 0) & ~met)
+    step = 0
+    while len(rows):
+        step += 1
+        rows = rows[after[rows] >= step]
+        near = rows[np.bitwise_count((fps[rows] ^ fps[rows + step]).view(np.uint64)) <= radius]
+        met[near] = met[near + step] = True
+    bucket = np.repeat(np.arange(len(sizes)), sizes)[met]
+    ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1 if len(bucket) else bucket
+    found = [linked(g, radius) for g in np.split(fps[met], ends)]
     none = np.zeros(0, np.int64)
     return pd.DataFrame({"a": np.concatenate([none, *(x[0] for x in found)]), "b": np.concatenate([none, *(x[1] for x in found)])})
 

@@ -99,6 +99,69 @@ def test_a_crowded_bucket_is_split(spark):
     assert {f: got.get(f, f) for f in signed} == root
 
 
+def made(df):
+    """Rows made by the joins and generators of a query that has run, by node; with adaptive execution."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        below = node.children()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+        todo += inner or [below.apply(i) for i in range(below.size())]
+        if "Join" in name or name.startswith("Generate"):
+            out.append(node.metrics().get("numOutputRows").get().value())
+    return out
+
+
+def test_rows_grow_with_the_fingerprints(spark):
+    """Masks on parts: five times the fingerprints make five times the rows in every node, though short keys meet by chance."""
+    r = np.random.default_rng(4)
+    fps = np.unique(r.integers(-(2**63), 2**63, 30_000))
+    fps[1::50] = fps[::50] ^ (np.int64(0b1111111) << r.integers(0, 57, 600))
+    rows = []
+    for n in (6_000, 30_000):
+        edges = simhash.link_fingerprints(spark.createDataFrame([(int(f),) for f in fps[:n]], "fp long"), 7, parts=2)
+        got = {frozenset(e) for e in edges.collect()}
+        assert got == {frozenset((int(a), int(b))) for a, b in zip(fps[:n:50], fps[1:n:50], strict=True)}
+        rows.append(sorted(made(edges)))
+    assert rows[0] and all(b <= 5.5 * a for a, b in zip(*rows, strict=True))
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_masks_on_parts_in_blocks(spark, block):
+    """Crowded buckets of short keys are split or dealt out as pairs of blocks, the others compared as they are."""
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(4)]
+    fps = {b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(25)} | {r.getrandbits(64) for _ in range(100)}
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    root = {f: f for f in signed}
+    a, b = simhash.linked(np.array(signed, dtype=np.int64), 7)  # all in one piece
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):  # breadth-first: x has its root already
+        root[y] = root[x]
+    for families in (1, 2):
+        edges = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), 7, block, families, parts=2)
+        assert all(bin((x ^ y) % 2**64).count("1") <= 7 for x, y in edges.collect())
+        got = {x.node: x.root for x in components(edges, "a", "b").collect()}
+        least = {}
+        for f, c in root.items():
+            least[c] = min(least.get(c, f), f)
+        assert {f: got.get(f, f) for f in signed} == {f: least[c] for f, c in root.items()}
+
+
+def test_buckets_are_searched_alike():
+    """Sizes about SEARCHED: the same links as walking each bucket by itself."""
+    r = np.random.default_rng(6)
+    sizes = [1, 2, 1, 40, simhash.SEARCHED, simhash.SEARCHED + 1, 3]
+    starts = np.r_[0, np.cumsum(sizes)]
+    fps = r.integers(-(2**63), 2**63, starts[-1])
+    for at in (1, 5, 60, 300, 301, 555):
+        fps[at + 1] = fps[at] ^ 5
+    edges = simhash._edges(fps, starts, 3)
+    want = [simhash.linked(fps[a:b], 3) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert len(edges) == sum(len(x[0]) for x in want) >= 5
+    assert {frozenset(e) for e in edges.itertuples(index=False)} == {frozenset(e) for x in want for e in zip(*x, strict=True)}
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(r.randrange(5000, 5400), r.randrange(5000, 5400)) for _ in range(200)]
