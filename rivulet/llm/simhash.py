@@ -121,6 +121,37 @@ def _cells(keys: DataFrame, full: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _balls(keys: DataFrame, crowded: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Takes a dense group out of each crowded bucket in rows in proportion: (edges, cells, keys of the rest).
+
+    The fingerprint nearest to the majority of a bucket's bits is its centre, which those within the radius link to. Only
+    what lies within twice the radius can link to those; it is compared with them in cells. A bucket with more than `block`
+    fingerprints there stays whole.
+    """
+    within = durable(keys.join(crowded.select("t", "k"), ["t", "k"]).select("fp", "t", "k"), "crowded")
+    ones = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    votes = within.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), *ones)
+    middle = F.lit(0).cast("long")
+    for i in range(64):
+        middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    middles = durable(votes.select("t", "k", middle.alias("m")), "middles")
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("m")))
+    centres = within.join(middles, ["t", "k"]).groupBy("t", "k").agg(F.min(F.struct(apart.alias("d"), "fp")).alias("c")).select("t", "k", F.col("c.fp").alias("m"))
+    told = durable(within.join(durable(centres, "centres"), ["t", "k"]).select("fp", "t", "k", "m", apart.alias("d")), "distances")
+    outer = (F.col("d") > radius) & (F.col("d") <= 2 * radius)
+    sizes = told.groupBy("t", "k").agg(F.count(F.when(F.col("d") <= radius, 1)).alias("in"), F.count(F.when(outer, 1)).alias("out"), F.min(F.when(outer, F.col("d"))).alias("least"))
+    whole = durable(sizes.where(F.col("out") > block).select("t", "k"), "whole")
+    split = told.join(whole, ["t", "k"], "left_anti")
+    edge = durable(sizes.where(F.col("out").between(1, block)).select("t", "k", "least", F.ceil(F.col("in") / F.lit(block)).cast("int").alias("s")), "edges-of-balls")
+    cell = ["fp", "t", "k", "i", F.lit(-1).alias("j")]
+    beside = told.join(edge, ["t", "k"])
+    inner = beside.where((F.col("d") <= radius) & (F.col("d") >= F.col("least") - radius)).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")).select(*cell)
+    outside = beside.where(outer).select("fp", "t", "k", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i")).select(*cell)
+    stars = split.where(F.col("d").between(1, radius)).select(F.col("m").alias("a"), F.col("fp").alias("b"))
+    rest = split.where(F.col("d") > radius).select("fp", "t", "k").unionByName(told.join(whole, ["t", "k"]).select("fp", "t", "k"))
+    return stars, inner.unionByName(outside), durable(rest, "rest")
+
+
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, families: int = FAMILIES, parts: int = 1) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fps.fp that connect exactly what the links within the radius connect.
 
@@ -129,6 +160,7 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK,
     task gathers more than two blocks of a bucket at once.
     """
     keys, cells = fps.select("fp", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("k")), None
+    stars = None
     for family in range(families):
         own = masks(radius, family=family, parts=parts)
         masked = F.posexplode(F.array(*(F.col("k").bitwiseOR(F.col("fp").bitwiseAND(F.lit(m))) for m in own))).alias("p", "__k")
@@ -139,12 +171,16 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK,
         none = crowded.isEmpty()
         last = family == families - 1 or none
         if short:
-            part = keys if none else keys.join(crowded, ["t", "k"], "left_anti")
-            part = part.select("fp", "t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
-            if last and not none:
-                part = part.unionByName(_cells(keys, crowded, block))
-        else:
-            part = _cells(keys, full if last else full.where(F.col("n") <= block), block)
+            cells = keys if none else keys.join(crowded, ["t", "k"], "left_anti")
+            cells = cells.select("fp", "t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
+            if none:
+                break
+            stars, met, keys = _balls(keys, crowded, radius, block)
+            cells = cells.unionByName(met)
+            full = durable(keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+            crowded = full.where(F.col("n") > block)
+            last = family == families - 1 or crowded.isEmpty()
+        part = _cells(keys, full if last else full.where(F.col("n") <= block), block)
         cells = part if cells is None else cells.unionByName(part)
         if last:
             break
@@ -163,7 +199,8 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK,
         if kept is not None:
             yield _edges(kept["fp"].to_numpy(np.int64), np.array([0, len(kept)]), radius)
 
-    return cells.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp").mapInPandas(walk, "a long, b long")
+    edges = cells.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp").mapInPandas(walk, "a long, b long")
+    return edges if stars is None else edges.unionByName(stars)
 
 
 def _edges(fps: np.ndarray, starts: np.ndarray, radius: int) -> pd.DataFrame:

@@ -127,7 +127,7 @@ def test_rows_grow_with_the_fingerprints(spark):
     assert rows[0] and all(b <= 5.5 * a for a, b in zip(*rows, strict=True))
 
 
-@pytest.mark.parametrize("block", [3, 64])
+@pytest.mark.parametrize("block", [3, 12, 64])
 def test_masks_on_parts_in_blocks(spark, block):
     """Crowded buckets of short keys are split or dealt out as pairs of blocks, the others compared as they are."""
     r = random.Random(8)
@@ -148,6 +148,28 @@ def test_masks_on_parts_in_blocks(spark, block):
         assert {f: got.get(f, f) for f in signed} == {f: least[c] for f, c in root.items()}
 
 
+def test_a_dense_group_takes_rows_in_proportion(spark):
+    """One group of near fingerprints, five times as large, makes five times the rows, and keeps those that hang on its rim."""
+    r = random.Random(9)
+    middle = r.getrandbits(64)
+    rows = []
+    for n in (400, 2000):
+        fps = sorted({middle ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 4))) for _ in range(n)})
+        rim = [f ^ sum(1 << i for i in r.sample([i for i in range(64) if not (f ^ middle) >> i & 1], 7)) for f in fps[:: n // 8]]
+        far = [f ^ 0b1111111 << r.randrange(57) for f in rim]
+        signed = [f - 2**64 if f >> 63 else f for f in {*fps, *rim, *far, *(r.getrandbits(64) for _ in range(20))}]
+        edges = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), 7, 64, parts=2)
+        assert all(bin((a ^ b) % 2**64).count("1") <= 7 for a, b in edges.collect())
+        root = {f: f for f in signed}
+        a, b = simhash.linked(np.array(signed, dtype=np.int64), 7)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[y] = root[x]
+        got = {x.node: x.root for x in components(edges, "a", "b").collect()}
+        assert len({(root[f], got.get(f, f)) for f in signed}) == len(set(root.values())) == len({got.get(f, f) for f in signed})
+        rows.append(sum(made(edges)))
+    assert 0 < rows[1] <= 6 * rows[0]
+
+
 def test_buckets_are_searched_alike():
     """Sizes about SEARCHED: the same links as walking each bucket by itself."""
     r = np.random.default_rng(6)
