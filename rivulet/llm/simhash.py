@@ -13,7 +13,8 @@ A wider radius takes masks on parts of the fingerprint: of `parts` parts of a pa
 radius // parts bits, so masks for that many on each part miss no pair either, and are far fewer. Their keys are short (about
 17 bits for two parts), so that in a large table nearly all fingerprints share buckets by chance. Looking for those that do
 would make rows that grow faster than the table; instead each goes to the comparison once a mask, a row count in proportion,
-and meets at most the fingerprints of a bucket that isn't yet crowded.
+and meets at most the fingerprints of a bucket that isn't yet crowded. Out of a crowded one a dense group is taken first,
+whose members would meet under most masks of the next families as well.
 """
 
 from __future__ import annotations
