@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,19 +17,31 @@ WIDENING = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType)
 WIDTHS = {"short": 2, "int": 4, "long": 8}
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def encode_number(c: Column, kind: str) -> Column:
     """Big-endian two's complement bytes of a short, int or long."""
-    width = WIDTHS[kind]
-    return F.unhex(F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(2 * width)))
+    return F.unhex(digits(c, kind))
+
+
+def digits(c: Column, kind: str) -> Column:
+    """encode_number's bytes in hexadecimal."""
+    return F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(2 * WIDTHS[kind]))
 
 
 def decode_number(c: Column, kind: str) -> Column:
     """The number of big-endian bytes; another length is an error, null stays null."""
     width = WIDTHS[kind]
-    raw = F.conv(F.hex(c), 16, 10).cast("decimal(20,0)")
-    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
-    value = F.when(raw >= number(2 ** (8 * width - 1)), raw - number(2 ** (8 * width))).otherwise(raw).cast(kind)
-    return F.when(F.octet_length(c) != width, F.raise_error(F.lit(f"not {width} bytes"))).otherwise(value)
+    return F.when(F.octet_length(c) != width, F.raise_error(F.lit(f"not {width} bytes"))).otherwise(of_digits(F.hex(c), kind))
+
+
+def of_digits(c: Column, kind: str) -> Column:
+    """The number of decode_number's bytes in hexadecimal: -10 asks for a signed number, the shifts carry the sign up."""
+    away = 64 - 8 * WIDTHS[kind]
+    return F.shiftright(F.shiftleft(F.conv(c, 16, -10).cast("long"), away), away).cast(kind)
 
 
 def encode_float(c: Column, kind: str = "double") -> Column:
@@ -90,20 +103,44 @@ def decode_string(c: Column, charset: str = "UTF-8") -> Column:
 
 def encode_list(c: Column) -> Column:
     """An array of ints as bytes: number of nulls, their places, number of items, the items that aren't null, all four bytes wide."""
-    nulls = F.filter(F.transform(c, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
-    four = lambda x: encode_number(x, "int")
-    joined = lambda a: F.unhex(F.array_join(F.transform(a, lambda x: F.hex(four(x))), ""))
-    return F.when(c.isNotNull(), F.concat(four(F.size(nulls)), joined(nulls), four(F.size(c)), joined(F.filter(c, lambda x: x.isNotNull()))))
+    four = lambda x: digits(x, "int")
+    joined = lambda a: F.array_join(F.transform(a, four), "")
+
+    def written(a: Column) -> Column:
+        nulls = F.filter(F.transform(a, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+        return F.when(a.isNotNull(), F.unhex(once(nulls, lambda n: F.concat(four(F.size(n)), joined(n), four(F.size(a)), joined(F.filter(a, lambda x: x.isNotNull()))))))
+
+    return once(c, written)
 
 
 def decode_list(c: Column) -> Column:
-    word = lambda i: decode_number(F.substring(c, i * 4 + 1, F.lit(4)), "int")
-    n = word(F.lit(0))
-    nulls = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), word)).otherwise(F.array().cast("array<int>"))
-    size = word(n + 1)
-    before = lambda i: F.size(F.filter(nulls, lambda p: p < i))
-    items = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: F.when(~F.array_contains(nulls, i), word(n + 2 + i - before(i))))
-    return F.when(c.isNotNull(), F.when(size > 0, items).otherwise(F.array().cast("array<int>")))
+    """encode_list's array: the bytes are cut into numbers once, and the runs of items between nulls put together."""
+
+    def spread(size: Column, nulls: Column, items: Column) -> Column:
+        """items with a null before each place in nulls, which are in order and less than size."""
+        n = F.size(nulls)
+        begin = lambda k: F.when(k > 0, F.get(nulls, k - 1) - k + 1).otherwise(0)
+        end = lambda k: F.when(k < n, F.get(nulls, k) - k).otherwise(size - n)
+        null = F.array(F.lit(None).cast("int"))
+        run = lambda k: F.concat(F.slice(items, begin(k) + 1, end(k) - begin(k)), F.when(k < n, null).otherwise(F.array().cast("array<int>")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), run))
+
+    def read(w: Column) -> Column:
+        n = F.greatest(F.get(w, F.lit(0)), F.lit(0))
+        size = F.coalesce(F.get(w, n + 1), F.raise_error(F.lit("not 4 bytes")).cast("int"))
+        places = lambda size: F.array_sort(F.array_distinct(F.filter(F.slice(w, 2, n), lambda p: (p >= 0) & (p < size))))
+        items = lambda size, nulls: F.slice(w, n + 3, size - F.size(nulls))
+        whole = lambda size, nulls, a: F.when(F.size(a) < size - F.size(nulls), F.raise_error(F.lit("not 4 bytes"))).otherwise(spread(size, nulls, a))
+        some = lambda s: once(places(s), lambda nulls: once(items(s, nulls), lambda a: whole(s, nulls, a)))
+        return once(size, lambda s: F.when(s > 0, some(s)).otherwise(F.array().cast("array<int>")))
+
+    def numbers(h: Column) -> Column:
+        """The whole numbers of eight digits; the rest doesn't count."""
+        n = F.floor(F.length(h) / F.lit(8)).cast("int")
+        of = lambda i: of_digits(F.substring(h, i * 8 + 1, F.lit(8)), "int")
+        return F.when(n < 2, F.raise_error(F.lit("not 4 bytes"))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), of))
+
+    return once(F.hex(c), lambda h: F.when(h.isNotNull(), once(numbers(h), read)))
 
 
 def encode_uuid(c: Column) -> Column:

@@ -252,6 +252,24 @@ def test_hash_of_all_lengths(spark):
     assert [r.h for r in df.select(log.murmur2(F.col("b")).alias("h")).collect()] == [murmur_py(t.encode()) for t in texts]
 
 
+def test_lists_are_read_once(spark):
+    rnd = random.Random(3)
+    lists = [[], None, [None], [None, None], [1], [-(2**31), None, 2**31 - 1]] + [[rnd.choice([None, rnd.randrange(-(2**31), 2**31)]) for _ in range(n)] for n in (2, 3, 7, 20, 500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    four = lambda *v: b"".join(n.to_bytes(4, "big", signed=True) for n in v)
+    wire = [x if x is None else four(*(len(nulls := [i for i, v in enumerate(x) if v is None]), *nulls, len(x), *(v for v in x if v is not None))) for x in lists]
+    coded = df.select("i", codecs.encode_list(F.col("x")).alias("b"))
+    assert [r.b if r.b is None else bytes(r.b) for r in coded.orderBy("i").collect()] == wire
+    assert [r[0] for r in coded.orderBy("i").select(codecs.decode_list(F.col("b"))).collect()] == lists
+    for bad in (b"", four(0), four(0, 2, 5), four(2, 0, 1), four(0, 1, 5)[:-1]):
+        with pytest.raises(Exception, match="not 4 bytes"):
+            spark.createDataFrame([(bad,)], "b binary").select(codecs.decode_list(F.col("b"))).collect()
+    # what is decoded may itself be dear, so it is named once
+    assert str(codecs.decode_list(F.col("encoded_bytes"))._jc).count("encoded_bytes") == 1
+    ends = spark.createDataFrame([(v,) for v in (2**63 - 1, -(2**63), -1, 0)], "v long")
+    assert ends.where(codecs.decode_number(codecs.encode_number(F.col("v"), "long"), "long") != F.col("v")).count() == 0
+
+
 def test_codecs(spark):
     ids = ["00000000-0000-0000-0000-00000000000a", None]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
