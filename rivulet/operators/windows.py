@@ -121,10 +121,14 @@ class SessionWindows:
             raise ValueError("the gap must be over 0 and grace not negative")
 
     def aggregate(self, df: DataFrame, aggs: dict[str, Column], by: Sequence[str] = ("key",)) -> DataFrame:
-        """Built-in session windows merge partial sessions on the map side; their end is moved back by the gap."""
+        """Built-in session windows merge partial sessions on the map side.
+
+        The ends are aggregates, not parts of the grouping window: a filter on the latter would be moved below the
+        aggregation, to each record's own window, and cut sessions off.
+        """
         at = F.session_window(F.timestamp_millis(F.col("ts")), f"{self.gap} milliseconds")
-        out = df.groupBy(*by, at.alias("__s")).agg(*(c.alias(n) for n, c in aggs.items()))
-        return out.select(*by, F.unix_millis("__s.start").alias("window_start"), (F.unix_millis("__s.end") - self.gap).alias("window_end"), *aggs)
+        ends = [F.min("ts").cast("long").alias("window_start"), F.max("ts").cast("long").alias("window_end")]
+        return df.groupBy(*by, at.alias("__s")).agg(*ends, *(c.alias(n) for n, c in aggs.items())).select(*by, "window_start", "window_end", *aggs)
 
     def assign(self, df: DataFrame, by: Sequence[str] = ("key",)) -> DataFrame:
         """Each record with its session, for aggregates that need the records."""

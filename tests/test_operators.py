@@ -57,6 +57,14 @@ def test_sessions(spark):
     assert got(merged, "window_start", "window_end", "n") == [(10, 20, 4)]
 
 
+def test_filters_do_not_cut_sessions(spark):
+    """Of a session that holds 10, 14 and 18 a filter on its ends keeps all or nothing."""
+    s = windows.windowed(frame(spark, [("A", "x", 10), ("A", "x", 14), ("A", "x", 18), ("A", "x", 40), ("B", "x", 12)]), windows.SessionWindows(5), {"n": F.count(F.lit(1))})
+    assert got(stores.sessions_of(s, "A", 12, 15), "window_start", "window_end", "n") == [(10, 18, 3)]
+    assert got(s.where("window_start >= 12"), "key", "window_start", "n") == [("A", 40, 1), ("B", 12, 1)]
+    assert got(s.where("window_end <= 14"), "key", "window_end", "n") == [("B", 12, 1)]
+
+
 def test_null_rules(spark):
     df = frame(spark, [("a", "x", 1), (None, "x", 1), ("a", None, 2)])
     assert got(aggregate.count(df), "key", "count") == [("a", 1)]
