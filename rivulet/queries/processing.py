@@ -341,15 +341,17 @@ placed AS (SELECT *, (xor(h3, h3 >> 15) & 2147483647) % 7 AS p FROM k4)"""
 def default_partition(spark, d):
     """Records where the default partitioner places their serialised keys."""
     at = log.partition_of(codecs.encode_number(F.col("key"), "long"), 7)
-    return events(spark, d).select("key", at.alias("partition")).groupBy("key", "partition").agg(F.count(F.lit(1)).alias("n"))
+    counted = events(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # a key has one place
+    return counted.select("key", at.alias("partition"), "n")
 
 
 @query(f"WITH {MURMUR} SELECT key, CAST(p AS INTEGER) AS partition, count(DISTINCT ts // {DAY}) AS windows FROM placed GROUP BY ALL")
 def windowed_partition(spark, d):
     """All windows of a key go where the key goes."""
     start = (F.floor(F.col("ts") / DAY) * DAY).cast("long")
-    whole = codecs.windowed_key(codecs.encode_number(F.col("key"), "long"), start)
-    return events(spark, d).select("key", log.windowed_partition_of(whole, 7).alias("partition"), start.alias("w")).groupBy("key", "partition").agg(F.countDistinct("w").alias("windows"))
+    held = events(spark, d).select("key", start.alias("w")).distinct()
+    whole = codecs.windowed_key(codecs.encode_number(F.col("key"), "long"), F.col("w"))
+    return held.select("key", log.windowed_partition_of(whole, 7).alias("partition"), "w").groupBy("key", "partition").agg(F.count("w").alias("windows"))
 
 
 @query('SELECT CAST("offset" % 7 AS INTEGER) AS partition, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM e GROUP BY 1')

@@ -252,6 +252,14 @@ def test_hash_of_all_lengths(spark):
     assert [r.h for r in df.select(log.murmur2(F.col("b")).alias("h")).collect()] == [murmur_py(t.encode()) for t in texts]
 
 
+def test_hash_reads_its_bytes_once(spark):
+    # what is hashed may itself be dear, so it is named once
+    assert str(log.murmur2(F.col("hashed_bytes"))._jc).count("hashed_bytes") == 1
+    raw = [None, b"", b"\x00", b"\xff" * 8, bytes(range(256)), b"\x80\x00\xfe"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(raw)], "i int, b binary")
+    assert [r.h for r in df.select("i", log.murmur2(F.col("b")).alias("h")).orderBy("i").collect()] == [b if b is None else murmur_py(b) for b in raw]
+
+
 def test_lists_are_read_once(spark):
     rnd = random.Random(3)
     lists = [[], None, [None], [None, None], [1], [-(2**31), None, 2**31 - 1]] + [[rnd.choice([None, rnd.randrange(-(2**31), 2**31)]) for _ in range(n)] for n in (2, 3, 7, 20, 500)]
