@@ -77,11 +77,13 @@ def windowed(df: DataFrame, spec: TimeWindows | SessionWindows, aggs: dict[str,
     """A windowed aggregate: `update` mode sends each change, `append` only final results, `complete` everything each time."""
     timed = with_time(df.where(F.col("key").isNotNull()), spec.grace)
     if isinstance(spec, SessionWindows):
-        at, back = F.session_window("event_time", f"{spec.gap} milliseconds"), spec.gap
-    else:
-        at, back = F.window("event_time", f"{spec.size} milliseconds", f"{spec.advance} milliseconds"), 0
+        # as in SessionWindows.aggregate: a filter on the grouping window would cut sessions off
+        at = F.session_window("event_time", f"{spec.gap} milliseconds")
+        ends = [F.min(F.unix_millis("event_time")).alias("window_start"), F.max(F.unix_millis("event_time")).alias("window_end")]
+        return timed.where("ts >= 0").groupBy(*by, at.alias("__w")).agg(*ends, *(c.alias(n) for n, c in aggs.items())).select(*by, "window_start", "window_end", *aggs)
+    at = F.window("event_time", f"{spec.size} milliseconds", f"{spec.advance} milliseconds")
     out = timed.groupBy(*by, at.alias("__w")).agg(*(c.alias(n) for n, c in aggs.items()))
-    out = out.select(*by, F.unix_millis("__w.start").alias("window_start"), (F.unix_millis("__w.end") - back).alias("window_end"), *aggs)
+    out = out.select(*by, F.unix_millis("__w.start").alias("window_start"), F.unix_millis("__w.end").alias("window_end"), *aggs)
     return out.where("window_start >= 0")
 
 

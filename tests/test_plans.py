@@ -52,6 +52,13 @@ def test_append_sends_closed_windows_only(spark, tmp_path):
     assert sorted((r.window_start, r.n) for r in out) == [(0, 2), (10_000, 2)]  # the late record is dropped, the last window stays open
 
 
+def test_filters_do_not_cut_sessions_of_streams(spark, tmp_path):
+    s = stream_of(spark, tmp_path, [[(1, "a", 1000, 1), (1, "b", 1400, 2)], [(1, "c", 1800, 3), (1, "z", -5000, 6), (2, "d", 9000, 4)], [(3, "e", 40_000, 5)]])
+    held = run.windowed(s, windows.SessionWindows(500), {"n": F.count(F.lit(1))})
+    out = run.collect(held.where("window_end >= 1200 AND window_start <= 1500"), "append").collect()
+    assert [(r.key, r.window_start, r.window_end, r.n) for r in out] == [(1, 1000, 1800, 3)]
+
+
 def test_held_updates_and_punctuation(spark, tmp_path):
     rows = [[(1, "a", 1000, 1), (1, "b", 1005, 2)], [(2, "x", 1100, 3)], [(2, "y", 1105, 4)], [(3, "z", 2000, 5)]]
     s = run.with_time(stream_of(spark, tmp_path, rows), 0)
